@@ -50,16 +50,20 @@ def _drop_local() -> None:
         shutil.rmtree(p, ignore_errors=True)
 
 
+def write_shared(df: DataFrame, name: str) -> str:
+    """Write ``df`` into the shared folder; its path, which every executor can open."""
+    path = f"{shared_dir(df.sparkSession)}/molquarry/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once into the shared folder and read it back.
 
     Cuts lineage in a way that survives lost executors, and keeps later scans columnar. The table
     stays until the application's folder is cleared, since lazy results may still read it.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/molquarry/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
 
 
 def parallelism(spark: SparkSession) -> int:
