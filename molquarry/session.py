@@ -11,6 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_CHECKPOINTS: list[str] = []
+_PATHS: dict[int, tuple[DataFrame, str]] = {}
 
 
 def build_session(app: str = "molquarry", master: str | None = None, **conf: str) -> SparkSession:
@@ -63,7 +64,20 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     Cuts lineage in a way that survives lost executors, and keeps later scans columnar. The table
     stays until the application's folder is cleared, since lazy results may still read it.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(write_shared(df, name))
+    path = write_shared(df, name)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[id(out)] = (out, path)
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete materialised tables that no later stage reads."""
+    for df in tables:
+        out, path = _PATHS.pop(id(df), (None, None))
+        if out is df:
+            jvm = df.sparkSession.sparkContext._jvm
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def parallelism(spark: SparkSession) -> int:
