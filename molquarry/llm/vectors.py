@@ -58,6 +58,10 @@ class Bits:
         rows, cols = np.nonzero(dense)
         return np.minimum.reduceat(value[cols], np.searchsorted(rows, np.arange(n))).astype(np.int64)
 
+    def anchors(self, seed: int) -> np.ndarray:
+        """A finer locality value: two MinHash values at once."""
+        return self.locality(2 * seed) * 65_536 + self.locality(2 * seed + 1)
+
     def coarse(self, words: int = 8) -> Bits:
         """Folded to ``words`` 64-bit words for finding the way in a graph; 0 words leaves it as it is."""
         w = self.words.shape[1]
@@ -95,10 +99,14 @@ class Units:
     def take(self, rows: np.ndarray) -> Units:
         return Units(self.x[rows])
 
-    def locality(self, seed: int = 23) -> np.ndarray:
-        """Signs of 12 random projections: likely equal for vectors that are close."""
-        signs = self.x @ np.random.default_rng(seed).standard_normal((self.x.shape[1], 12)).astype(np.float32) > 0
-        return (signs << np.arange(12)).sum(1).astype(np.int64)
+    def locality(self, seed: int = 23, bits: int = 12) -> np.ndarray:
+        """Signs of random projections: likely equal for vectors that are close."""
+        signs = self.x @ np.random.default_rng(seed).standard_normal((self.x.shape[1], bits)).astype(np.float32) > 0
+        return (signs << np.arange(bits)).sum(1).astype(np.int64)
+
+    def anchors(self, seed: int) -> np.ndarray:
+        """A finer locality value."""
+        return self.locality(seed, 16)
 
     def coarse(self, words: int = 0) -> Units:
         return self
