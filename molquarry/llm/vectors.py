@@ -30,9 +30,9 @@ class Bits:
     def __len__(self) -> int:
         return len(self.words)
 
-    def sims(self, other: Bits, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    def sims(self, other: Bits, a: np.ndarray, b: np.ndarray, dtype: type = np.float32) -> np.ndarray:
         """Similarity of own rows a[i] and rows b[i] of ``other``."""
-        out = np.empty(len(a), np.float32)
+        out = np.empty(len(a), dtype)
         for at in range(0, len(a), 65_536):
             i, j = a[at : at + 65_536], b[at : at + 65_536]
             both = np.bitwise_count(self.words[i] & other.words[j]).sum(1, dtype=np.int32)
@@ -87,10 +87,11 @@ class Units:
     def __len__(self) -> int:
         return len(self.x)
 
-    def sims(self, other: Units, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.empty(len(a), np.float32)
+    def sims(self, other: Units, a: np.ndarray, b: np.ndarray, dtype: type = np.float32) -> np.ndarray:
+        out = np.empty(len(a), dtype)
         for at in range(0, len(a), 65_536):
-            out[at : at + 65_536] = np.einsum("ij,ij->i", self.x[a[at : at + 65_536]], other.x[b[at : at + 65_536]])
+            x, y = self.x[a[at : at + 65_536]], other.x[b[at : at + 65_536]]
+            out[at : at + 65_536] = np.einsum("ij,ij->i", x.astype(dtype, copy=False), y.astype(dtype, copy=False))
         return out
 
     def cross(self, other: Units) -> np.ndarray:
