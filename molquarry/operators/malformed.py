@@ -19,61 +19,69 @@ _NUMBER = re.compile(r"[ \t]*[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?[ \t]*\Z",
 _START, _BARE, _QUOTED, _CLOSED = range(4)
 
 
-def error_parse(line: str) -> tuple[int, int, list[str]]:
-    """(quote edits, delimiter edits, the edits) of the cheapest repair into two sound fields.
+def _cheapest(line: str, joined: bool) -> tuple[tuple[int, int], list[str]]:
+    """(cost, edits) by dynamic programming over the characters.
 
-    Dynamic programming over the characters. States are the place within a field (its start, bare
-    text, quoted text, after a closing quote) and whether the first delimiter has passed. Quotes may
-    be inserted or deleted at cost (1, 0), delimiters at (0, 1); costs are compared in that order, so
-    delimiters are edited only in so far as sound quoting leaves a wrong number of fields.
+    States are the place within a field (its start, bare text, quoted text, after a closing quote) and
+    whether the first delimiter has passed. Inserting or deleting a quote costs (1, 0), a delimiter (0, 1).
+    With ``joined`` a deleted delimiter joins its fields, costs compare by their sum and the edits make the
+    line sound; without, it still ends a field, and costs compare quotes first.
     """
-    inf = (1 << 40, 0)
+    rank = (lambda c: (c[0] + c[1], c[0])) if joined else (lambda c: c)
     best = {(_START, 1): ((0, 0), None)}
+
+    def put(to, key, cost, trail):
+        if key not in to or rank(cost) < rank(to[key][0]):
+            to[key] = (cost, trail)
+
     for i, c in enumerate(line):
         # a quote inserted before this character
         for (s, f), (cost, trail) in list(best.items()):
             to = {_START: _QUOTED, _QUOTED: _CLOSED, _CLOSED: _QUOTED}.get(s)
             if to is not None:
-                new = (cost[0] + 1, cost[1])
-                if new < best.get((to, f), (inf, None))[0]:
-                    best[to, f] = (new, (trail, "insert quote", i))
+                put(best, (to, f), (cost[0] + 1, cost[1]), (trail, "insert quote", i))
         step: dict = {}
-
-        def put(key, cost, trail, step=step):
-            if cost < step.get(key, (inf, None))[0]:
-                step[key] = (cost, trail)
-
         for (s, f), (cost, trail) in best.items():
             if c == '"':
-                if s == _START or s == _CLOSED:
-                    put((_QUOTED, f), cost, trail)
+                if s in (_START, _CLOSED):
+                    put(step, (_QUOTED, f), cost, trail)
                 elif s == _QUOTED:
-                    put((_CLOSED, f), cost, trail)
-                put((s, f), (cost[0] + 1, cost[1]), (trail, "delete quote", i))
+                    put(step, (_CLOSED, f), cost, trail)
+                put(step, (s, f), (cost[0] + 1, cost[1]), (trail, "delete quote", i))
             elif c == "," and s != _QUOTED:
                 if f == 1:
-                    put((_START, 2), cost, trail)
-                else:
-                    put((_START, 2), (cost[0], cost[1] + 1), (trail, "delete delimiter", i))
+                    put(step, (_START, 2), cost, trail)
+                if f == 2 or joined:
+                    put(step, (s if joined else _START, f), (cost[0], cost[1] + 1), (trail, "delete delimiter", i))
             elif s == _QUOTED:
-                put((s, f), cost, trail)
+                put(step, (s, f), cost, trail)
             elif s != _CLOSED:
-                put((_BARE, f), cost, trail)
+                put(step, (_BARE, f), cost, trail)
         best = step
-    end = len(line)
-    cost, trail = inf, None
+    ends: dict = {}
     for (s, f), (c, t) in best.items():
         if s == _QUOTED:
-            c, t = (c[0] + 1, c[1]), (t, "insert quote", end)
+            c, t = (c[0] + 1, c[1]), (t, "insert quote", len(line))
         if f == 1:
-            c, t = (c[0], c[1] + 1), (t, "insert delimiter", end)
-        if c < cost:
-            cost, trail = c, t
+            c, t = (c[0], c[1] + 1), (t, "insert delimiter", len(line))
+        put(ends, 0, c, t)
+    cost, trail = ends[0]
     edits = []
     while trail is not None:
         trail, what, at = trail
         edits.append(f"{what} at {at}")
-    return cost[0], cost[1], edits[::-1]
+    return cost, edits[::-1]
+
+
+def error_parse(line: str) -> tuple[int, int, list[str]]:
+    """(quote edits, delimiter edits, repair) of a line meant to have two fields.
+
+    The two numbers compare quotes first, with every delimiter ending a field: delimiters are at fault only
+    in so far as sound quoting leaves a wrong number of fields. The repair is the cheapest list of edits
+    after which the line is sound.
+    """
+    (quotes, delimiters), _ = _cheapest(line, joined=False)
+    return quotes, delimiters, _cheapest(line, joined=True)[1] if quotes or delimiters else []
 
 
 def judge(line: str | None, low: float, high: float) -> tuple[str | None, float | None, str | None, str | None]:
