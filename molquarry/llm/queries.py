@@ -115,7 +115,7 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact round trip: text of each document from its ids; "" for null texts too."""
     back = tokens.decode_documents(tokens.encode_documents(table(spark, sf_dir, "documents")))
-    return back.select("doc_id", F.decode("bytes", F.lit("utf-8")).alias("text"))
+    return back.select("doc_id", F.decode("bytes", "utf-8").alias("text"))
 
 
 def _mix(spark: SparkSession, sf_dir: str) -> mixing.Mix:
