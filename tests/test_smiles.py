@@ -32,7 +32,7 @@ def test_clean():
 
 
 def test_graph_hash_ignores_writing():
-    assert len(set(keys("OCC(C)Cl", "C(O)C(Cl)C", "[18OH]C[C@H](Cl)C", "OCC(C)Cl.[Na+]", "C%11(Cl).OCC%11C"))) == 1
+    assert len(set(keys("OCC(C)Cl", "C(O)C(Cl)C", "[18OH]C[C@H](Cl)C", "OCC(C)Cl.[Na+]", "C%11(Cl)C.OC%11"))) == 1
     assert len(set(keys("Cc1ccc(O)cc1", "Cc1cccc(O)c1", "Cc1ccccc1O"))) == 3
     assert len(set(keys("C1CCC2CCCCC2C1", "C1CCCC1C1CCCC1"))) == 2
     assert len(set(keys("c1ccccc1c1ccccc1", "c1ccccc1-c1ccccc1"))) == 1
