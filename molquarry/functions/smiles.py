@@ -201,14 +201,16 @@ def parse(s: str) -> Molecule | None:
     if len(pairs) != len(closures):
         return None
     ring_up = [False] * len(element)
-    if merge:
+    if merge:  # closures between parts written apart may be plain bonds, so rings are looked for one by one
         part, parts = _merged(part, merge)
+        ends = [(u, v) for v, u in enumerate(parent) if u >= 0] + [(a, b) for a, b, _ in closures]
+        in_ring = [_linked(ends[:i] + ends[i + 1 :], u, v) for i, (u, v) in enumerate(ends)]
+        orders = [up[v] for v, u in enumerate(parent) if u >= 0] + [o for _, _, o in closures]
+        return Molecule(element, aromatic, [(u, v, o or (AROMATIC_BOND if r and aromatic[u] and aromatic[v] else 1), r) for (u, v), o, r in zip(ends, orders, in_ring)], part, parts)
     for a, b, _ in closures:
         while a != b:
             if depth[a] < depth[b]:
                 a, b = b, a
-            if parent[a] < 0:
-                break  # a closure between parts written apart
             ring_up[a] = True
             a = parent[a]
     bonds = []
@@ -216,11 +218,25 @@ def parse(s: str) -> Molecule | None:
         if u >= 0:
             bonds.append((u, v, up[v] or (AROMATIC_BOND if ring_up[v] and aromatic[u] and aromatic[v] else 1), ring_up[v]))
     for a, b, order in closures:
-        ring = not merge or part[a] == part[b]
-        bonds.append((a, b, order or (AROMATIC_BOND if aromatic[a] and aromatic[b] else 1), ring))
+        bonds.append((a, b, order or (AROMATIC_BOND if aromatic[a] and aromatic[b] else 1), True))
     return Molecule(element, aromatic, bonds, part, parts)
 
 
+def _linked(bonds: list[tuple[int, int]], a: int, b: int) -> bool:
+    """Whether bonds lead from a to b."""
+    near: dict[int, list[int]] = {}
+    for u, v in bonds:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+    seen, todo = {a}, [a]
+    while todo:
+        for v in near.get(todo.pop(), ()):
+            if v not in seen:
+                seen.add(v)
+                todo.append(v)
+    return b in seen
+
+
 def _merged(part: list[int], merge: list[tuple[int, int]]) -> tuple[list[int], int]:
     root = {p: p for p in part}
     for a, b in merge:
