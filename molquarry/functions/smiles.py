@@ -80,14 +80,17 @@ def clean(s: str | None) -> str | None:
         return None
     if not _PLAIN.match(s):
         s = _visible(s)
-    a, b = 0, len(s)
-    while a < b and not _START.match(s[a]):
-        a += 1
-    while b > a and not _END.match(s[b - 1]):
-        b -= 1
-    s = s[a:b]
-    while s and s[-1] in ")]" and s.count(s[-1]) > s.count("(" if s[-1] == ")" else "["):
-        s = s[:-1]
+    before = None
+    while s != before:  # until nothing is left to strip
+        before = s
+        a, b = 0, len(s)
+        while a < b and not _START.match(s[a]):
+            a += 1
+        while b > a and not _END.match(s[b - 1]):
+            b -= 1
+        s = s[a:b]
+        if s and s[-1] in ")]" and s.count(s[-1]) > s.count("(" if s[-1] == ")" else "["):
+            s = s[:-1]
     if s[:1] == "[" and s[-1:] == "]":  # a pair around the whole, if it can't be an atom
         inner = s[1:-1]
         if not _BRACKET.match(_recase_bracket(s[1 : s.index("]")])) and "[" not in inner.split("]")[0]:
