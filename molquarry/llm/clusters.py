@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from molquarry.llm.vectors import Bits, packed
 from molquarry.operators.skew import attach_heads
-from molquarry.session import materialise, parallelism
+from molquarry.session import materialise, parallelism, spread
 
 WIDTH = 2048
 NEIGHBOURS = 10
@@ -222,7 +222,7 @@ class Clusters:
         root = merge_connected(pairs, kind)
         merged = community.join(root, community["community"] == root["x"], "left").select("node", F.coalesce("root", "community").alias("set_id"))
         self.nodes = materialise(merged.join(nodes.select("node", "copies"), "node"), "cluster-sets")
-        self.members_of_nodes = rows
+        self.members_of_nodes, self.vectors = rows, nodes.select("node", "vec")
         # only nodes that share a set, or copies, need their rows looked up
         self.sets = self._sets(rows)
 
@@ -237,22 +237,65 @@ class Clusters:
         rows = attach_heads(self.members_of_nodes, per_node.select("node", "first_id", "copies"), ["node"], "copies")
         return rows.filter(F.col("id") != F.col("first_id")).select("first_id", F.col("id").alias("mol_id"))
 
+    def _ranked(self) -> DataFrame:
+        """Nodes with ``degree``, their internal weighted degree; copies weigh as links of similarity 1."""
+        ends = self.links.select(F.col("a").alias("node"), "b", "sim").unionByName(self.links.select(F.col("b").alias("node"), F.col("a").alias("b"), "sim"))
+        other = self.nodes.select(F.col("node").alias("b"), F.col("copies").alias("times"))
+        degree = ends.join(other, "b").groupBy("node").agg(F.sum(F.col("sim") * F.col("times")).alias("d"))
+        return self.nodes.join(degree, "node", "left").withColumn("degree", F.coalesce("d", F.lit(0.0)) + F.col("copies") - 1).drop("d")
+
     def cluster_of_sets(self, most: int) -> DataFrame:
-        """(set_id, cluster_id, n): the largest sets are clusters of their own, as far as ``most`` allows.
+        """(set_id, cluster_id, n): every set of two or more records is a cluster of its own if ``most`` allows.
 
-        The rest shares the clusters left (at least a tenth of ``most``), by hash, and the last cluster
-        is kept for records without a usable vector.
+        Single records share the clusters left, by hash. Where there are too many sets, the largest get
+        clusters (all but a tenth of ``most``), and each other one joins the cluster whose center is most
+        similar to its own; centers are the members of highest degree. The last cluster is kept for
+        records without a usable vector.
         """
         if most < 3:
             raise ValueError("at least three clusters are needed")
         sizes = materialise(self.nodes.groupBy("set_id").agg(F.sum("copies").alias("n")), "cluster-sizes")
-        shared = max(1, most // 10)
-        own = most - shared - 1
+        several = sizes.filter("n > 1").count()
+        own = several if several <= most - 2 else most - max(1, most // 10) - 1
+        shared = most - own - 1
         top = sizes.filter("n > 1").orderBy(F.desc("n"), "set_id").limit(own)
         top = top.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "set_id")))  # at most ``most`` rows
-        rest = sizes.join(F.broadcast(top.select("set_id")), "set_id", "left_anti")
-        rest = rest.withColumn("cluster_id", (F.lit(own + 1) + F.pmod(F.xxhash64("set_id"), F.lit(shared))).cast("int"))
-        return top.select("set_id", "cluster_id", "n").unionByName(rest.select("set_id", "cluster_id", "n"))
+        top = materialise(top.select("set_id", "cluster_id", "n"), "cluster-own")
+        singles = sizes.filter("n = 1").withColumn("cluster_id", (F.lit(own + 1) + F.pmod(F.xxhash64("set_id"), F.lit(shared))).cast("int"))
+        out = top.unionByName(singles.select("set_id", "cluster_id", "n"))
+        if several > own:
+            beyond = sizes.filter("n > 1").join(F.broadcast(top.select("set_id")), "set_id", "left_anti")
+            out = out.unionByName(materialise(self._nearest(beyond, top), "cluster-beyond"))
+        return out
+
+    def _nearest(self, sets: DataFrame, top: DataFrame) -> DataFrame:
+        """(set_id, cluster_id, n): for each of ``sets``, the cluster of ``top`` with the most similar center."""
+        best = F.min(F.struct((-F.col("degree")).alias("by"), F.col("node").alias("node")))
+        heads = self._ranked().groupBy("set_id").agg(best.alias("x")).select("set_id", F.col("x.node").alias("node"))
+        heads = materialise(heads.join(sets.select("set_id").unionByName(top.select("set_id")), "set_id").join(self.vectors, "node").select("set_id", "vec"), "cluster-centers")
+        centers = heads.join(F.broadcast(top), "set_id").orderBy("cluster_id").select("cluster_id", "vec").toPandas()  # at most ``most`` rows
+        sent = sets.sparkSession.sparkContext.broadcast((centers["cluster_id"].to_numpy(), list(centers["vec"])))
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            names, vecs = sent.value
+            of = Bits.from_bytes(vecs)
+            for pdf in batches:
+                ask = Bits.from_bytes(list(pdf["vec"]))
+                near, high = np.zeros(len(ask), np.int64), np.full(len(ask), -1.0, np.float32)
+                for at in range(0, len(of), 512):
+                    s = ask.cross(of.take(np.arange(at, min(at + 512, len(of)))))
+                    here = s.argmax(1)
+                    value = s[np.arange(len(ask)), here]
+                    near, high = np.where(value > high, at + here, near), np.maximum(high, value)
+                yield pd.DataFrame({"set_id": pdf["set_id"], "cluster_id": names[near], "n": pdf["n"]})
+
+        asked = spread(heads.join(sets, "set_id").select("set_id", "vec", "n"))
+        return asked.mapInPandas(run, f"set_id {dict(sets.dtypes)['set_id']}, cluster_id int, n long")
+
+    def sharing(self, most: int) -> int:
+        """How many sets of two or more records don't have a cluster of their own."""
+        per = self.cluster_of_sets(most).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("sets"), F.sum((F.col("n") > 1).cast("long")).alias("several"))
+        return per.filter("sets > 1").agg(F.coalesce(F.sum("several"), F.lit(0))).first()[0]
 
     def members(self, most: int) -> DataFrame:
         """(mol_id, set_id, cluster_id): each record once; at most ``most`` clusters."""
@@ -265,11 +308,7 @@ class Clusters:
 
         Copies weigh as links of similarity 1; ties go to the smaller id.
         """
-        ends = self.links.select(F.col("a").alias("node"), "b", "sim").unionByName(self.links.select(F.col("b").alias("node"), F.col("a").alias("b"), "sim"))
-        other = self.nodes.select(F.col("node").alias("b"), F.col("copies").alias("times"))
-        degree = ends.join(other, "b").groupBy("node").agg(F.sum(F.col("sim") * F.col("times")).alias("d"))
-        ranked = self.nodes.join(degree, "node", "left").withColumn("degree", F.coalesce("d", F.lit(0.0)) + F.col("copies") - 1)
-        placed = attach_heads(ranked, self.cluster_of_sets(most), ["set_id"], "n").select("cluster_id", "node", "copies", "set_id", "degree")
+        placed = attach_heads(self._ranked(), self.cluster_of_sets(most), ["set_id"], "n").select("cluster_id", "node", "copies", "set_id", "degree")
         best = F.struct((-F.col("degree")).alias("by"), F.col("node").alias("node"))
         # partial lists before the shuffle: best few of each (cluster, salt), then of each cluster
         salted = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("cluster_id", "salt").agg(

@@ -14,7 +14,7 @@ from molquarry.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: The configuration of core_c whose num_centers bounds the clusters of p2_clusters.
-CLUSTER_CONFIG = "small"
+CLUSTER_CONFIG = "full"
 FIELDS = {"morgan2048_fp": ("bits", 2048), "text_name_embedding": ("units", 64)}
 
 

@@ -89,6 +89,24 @@ def test_clusters(spark):
     assert clusters.Clusters(df.limit(0)).found().count() == 0
 
 
+def test_sets_have_clusters_of_their_own(spark):
+    rng = np.random.default_rng(2)
+    bases = [rng.choice(2048, 60, replace=False) for _ in range(34)]
+    bases[33] = np.concatenate([bases[0][:30], bases[33][:30]])  # a third of its bits are those of the largest set
+    rows = []
+    for k, base in enumerate(bases):
+        for j in range(4 if k == 0 else 3 if k < 20 else 2 if k in (20, 33) else 1):
+            rows.append((len(rows), [int(b in set(base.tolist()) - {base[-1 - j]}) for b in range(2048)]))
+    df = spark.createDataFrame(rows, "mol_id long, morgan2048_fp array<int>")
+    c = clusters.Clusters(df)
+    assert c.sharing(24) == 0 and c.sharing(100) == 0
+    alone = c.describe(24).filter("records > 1 and sets = 1")
+    assert alone.count() == 22  # of 22 sets, at 24 clusters
+    of = {r["mol_id"]: r["cluster_id"] for r in c.members(22).collect()}
+    assert c.sharing(22) > 0 and of[len(rows) - 1] == of[len(rows) - 2] == of[0]  # joins the most similar center
+    assert queries._most(spark, DATA) == 10_000
+
+
 def test_local_moving_finds_two_cliques():
     a, b = zip(*[(i, j) for g in (range(6), range(6, 12)) for i in g for j in g if i < j], (5, 6))
     label = clusters.local_moving(12, np.array(a), np.array(b), np.ones(len(a)))
