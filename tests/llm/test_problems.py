@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -133,6 +134,21 @@ def test_neighbours_against_brute_force(spark):
     assert neighbours.Neighbours(df.limit(0), "mol_id", "morgan2048_fp", "bits", 2048).rows.count() == 0
 
 
+def test_neighbours_of_unrelated_bits_are_exact(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.random((6000, 2048)) < 0.03).astype(int)
+    df = spark.createDataFrame(pd.DataFrame({"mol_id": range(len(x)), "v": list(x)}), "mol_id long, v array<int>")
+    rows = neighbours.Neighbours(df, "mol_id", "v", "bits", 2048).rows.filter("id < 300").collect()
+    both = x[:300].astype(np.float32) @ x.T.astype(np.float32)
+    s = both.astype(float) / (x[:300].sum(1)[:, None] + x.sum(1)[None] - both)
+    s[np.arange(300), np.arange(300)] = -1
+    got = {(r["id"], r["rank"]): (r["neighbour_id"], r["similarity"]) for r in rows}
+    for k in range(300):
+        want = sorted(range(len(x)), key=lambda j: (-s[k, j], j))[:10]
+        assert [got[k, r][0] for r in range(1, 11)] == want
+        assert np.allclose([got[k, r][1] for r in range(1, 11)], s[k, want])
+
+
 def test_units_recall_and_bad_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.standard_normal((800, 64))
