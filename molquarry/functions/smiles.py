@@ -346,7 +346,7 @@ class Graphs:
         kind = mix(self.order * 2 + self.ring)
         a, b, k = self.a, self.b, kind
         limit = np.minimum(size, 64)
-        kept: list[np.ndarray] = []
+        kept = [colour.copy()] if 0 in radii else []
         rounds = int(limit.max()) if len(limit) else 0
         with np.errstate(over="ignore"):
             for r in range(1, max(rounds, *radii, 0) + 1 if radii else rounds + 1):

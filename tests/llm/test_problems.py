@@ -204,6 +204,17 @@ def test_overlap(spark):
     assert overlap.Overlap(df.limit(0)).pairs().count() == 0
 
 
+def test_one_changed_atom_is_near(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(["C", "N", "O", "C(C)", "C(F)", "C(=O)", "c1ccccc1", "S"]) for _ in range(14)) for _ in range(80)]
+    rows = [("t", i, t, "x", "train") for i, t in enumerate(texts)] + [("t", 1000 + i, t + "C", "x", "test") for i, t in enumerate(texts[:20])]
+    df = spark.createDataFrame(rows, "origin string, row_id long, smiles string, source string, split string")
+    o = overlap.Overlap(df)
+    got = {r["row_id"]: (r["exact"], r["near"]) for r in o.rows().collect()}
+    assert len(got) == 20 and all(e == 0 and n >= 1 for e, n in got.values())
+    assert o.report().first()["near_rows"] == 20 and o.pairs().count() == 0
+
+
 def test_cosine_join_against_brute_force(spark):
     rng = np.random.default_rng(2)
     base = [sorted(rng.choice(400, 20, replace=False).tolist()) for _ in range(60)]
