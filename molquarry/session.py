@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -34,11 +35,14 @@ def build_session(app: str = "molquarry", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset (tests on one machine) a temporary folder is made and set instead.
+    Only where that is unset and the master is local a temporary folder is made and set instead; a
+    cluster without the setting is refused, as no folder of one machine would do.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="molquarry-ckpt-")
     _LOCAL_CHECKPOINTS.append(made)
     spark.conf.set("spark.checkpoint.dir", "file://" + made)
@@ -51,6 +55,16 @@ def _drop_local() -> None:
         shutil.rmtree(p, ignore_errors=True)
 
 
+def opened(path: str) -> str:
+    """``path`` as Python workers can open it: with the scheme of the session's default file system."""
+    if "://" in path or path.startswith("file:"):
+        return path
+    spark = SparkSession.active()
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toString()
+    return "file://" + full[5:] if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def write_shared(df: DataFrame, name: str) -> str:
     """Write ``df`` into the shared folder; its path, which every executor can open."""
     path = f"{shared_dir(df.sparkSession)}/molquarry/{name}-{uuid.uuid4().hex}"
@@ -87,10 +101,15 @@ def parallelism(spark: SparkSession) -> int:
 def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     """Give a CPU-heavy Python stage enough tasks when its input has too few partitions.
 
-    A scan that already has enough splits (any large input) is left alone, so nothing is shuffled.
+    Judged by the size of what the plan reads, so nothing runs; an input of enough splits (any large one)
+    is left alone, so nothing is shuffled.
     """
-    want = parallelism(df.sparkSession) * per_core
-    return df if df.rdd.getNumPartitions() >= want else df.repartition(want)
+    spark = df.sparkSession
+    want = parallelism(spark) * per_core
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    splits = size // max(int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()), 1)
+    return df if splits >= want else df.repartition(want)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
