@@ -28,8 +28,8 @@ def _most(spark: SparkSession, sf_dir: str) -> int:
     return int(row["num_centers"])
 
 
-def _near(spark: SparkSession, sf_dir: str) -> dict[str, neighbours.Neighbours]:
-    return neighbours.neighbours_of_fields(table(spark, sf_dir, "data_collator"), "mol_id", FIELDS)
+def _near(spark: SparkSession, sf_dir: str, least: float = 0.0) -> dict[str, neighbours.Neighbours]:
+    return neighbours.neighbours_of_fields(table(spark, sf_dir, "data_collator"), "mol_id", FIELDS, least=least)
 
 
 def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def p2_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = None
-    for field, near in _near(spark, sf_dir).items():
+    for field, near in _near(spark, sf_dir, 0.9).items():
         one = near.found(0.9).select(F.lit(field).alias("field"), "id_a", "id_b")
         out = one if out is None else out.unionByName(one)
     return out
