@@ -1,13 +1,15 @@
 """Problem 10: template residue and error-page text.
 
 Sentences of all documents are mined for message templates with a fixed-depth prefix tree (length, then
-leading tokens, then token similarity). Each template is classified once, and verdicts are propagated to
-documents: one without any sentence of real content, but with residue, is a case. Slots left unfilled
-within ordinary sentences are detected separately.
+leading tokens, then token similarity). Each template is classified once, by a classifier of its words
+together with where the corpus has it (in texts of a few sentences, or in running text), and verdicts are
+propagated to documents: one without any sentence of real content, but with residue, is a case. Slots
+left unfilled within ordinary sentences are detected separately.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,6 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molquarry.llm.messages import MOST_SAMPLE, Messages
 from molquarry.session import materialise, spread
 
 #: Leading tokens that the tree branches on, and the share of equal tokens that joins a template.
@@ -26,8 +29,10 @@ SIMILARITY = 0.7
 RARE = 1e-4
 #: Templates of residue or furniture beyond this are joined by shuffle instead of broadcast.
 MOST_BROADCAST = 200_000
-#: Tokens of a sentence that may still be a message.
-LONGEST = 40
+#: A text of up to this many sentences is short; a message stands in short texts, content mostly in others.
+SHORT = 4
+#: Different sentences of one leaf beyond which it is split by a MinHash of their tokens, as similar ones share it.
+LEAF_ROWS = 20_000
 
 WILD = "<*>"
 
@@ -77,26 +82,39 @@ def leaf(toks: list[str], common: frozenset | set) -> str:
 
 
 class TemplateTree:
-    """Templates of each leaf, as token lists with wildcards, and how many sentences each stands for."""
+    """Templates of each leaf, as token lists with wildcards, and how many sentences each stands for.
+
+    A sentence joins the first template that shares SIMILARITY of its tokens. As fewer than a share of
+    1 - SIMILARITY of places then differ, one of as many blocks of places and one more is wholly equal:
+    templates are looked up by blocks, so that a leaf isn't scanned.
+    """
 
     def __init__(self) -> None:
         self.leaves: dict[str, list[list]] = {}
-
-    def add(self, path: str, toks: list[str], n: int) -> None:
-        group = self.leaves.setdefault(path, [])
-        for t in group:
+        self.blocks: dict[tuple, list[int]] = {}
+
+    def add(self, path: str, toks: list[str], n: int, short: int = 0) -> None:
+        group, size = self.leaves.setdefault(path, []), len(toks)
+        parts = size - math.ceil(SIMILARITY * size - 1e-9) + 1
+        cuts = [(size * i // parts, size * (i + 1) // parts) for i in range(parts)]
+        keys = [(path, i, *toks[a:b]) for i, (a, b) in enumerate(cuts)]
+        for at in sorted({x for k in keys for x in self.blocks.get(k, ())}):
+            t = group[at]
             same = sum(a == b for a, b in zip(t[0], toks))
-            if same >= SIMILARITY * len(toks):
-                if same < len(toks):
+            if same >= SIMILARITY * size:
+                if same < size:
                     t[0] = [a if a == b else WILD for a, b in zip(t[0], toks)]
                 t[1] += n
+                t[2] += short
                 return
-        group.append([toks, n])
+        for k in keys:
+            self.blocks.setdefault(k, []).append(len(group))
+        group.append([toks, n, short])
 
-    def rows(self) -> Iterator[tuple[str, str, int]]:
+    def rows(self) -> Iterator[tuple[str, str, int, int]]:
         for path, group in self.leaves.items():
-            for toks, n in group:
-                yield path, "\t".join(toks), n
+            for toks, n, short in group:
+                yield path, "\t".join(toks), n, short
 
 
 # Phrases of messages. NP stands for what a message is about.
@@ -137,8 +155,8 @@ _TOLD = re.compile(r"""['"”’»]\s*(?:,|or\b|in\b|on\b|and\b|which\b|as\b|whi
 _TRACE = re.compile(r"""^(?:traceback \(|file ["<][^"<>]+[">]?, line 0, in )""")
 
 
-def classify(template: str) -> str:
-    """error, script, filler, furniture or content, by the share of a template that messages explain."""
+def pattern_label(template: str) -> str:
+    """error, script, filler, furniture or content, by the share of a template that the patterns explain."""
     text = template.replace("\t", " ").strip().strip("'\"“”‘’")
     if _TOLD.search(text) and not _TRACE.match(text):
         return "content"
@@ -155,14 +173,53 @@ def classify(template: str) -> str:
     return kind if left <= 0.55 * words and best > 0 else "content"
 
 
+#: Log-odds that the classifier needs on its own, and that context in the corpus can add or take.
+LEAST_ODDS = 1.5
+MOST_CONTEXT = 3.0
+
+
+def fitted(sample: list[tuple[str, int, int]]) -> Messages:
+    """The classifier, from a bounded sample of templates (template, sentences, of these in short texts).
+
+    Templates that patterns explain have their label; of the others, those mostly in running text are content.
+    """
+    labelled = []
+    for template, n, short in sample[:MOST_SAMPLE]:
+        kind = pattern_label(template)
+        if kind != "content" or short < 0.5 * n:
+            labelled.append((template.split("\t"), kind))
+    return Messages(labelled)
+
+
+def classify(template: str, n: int = 1, short: int = 1, model: Messages | None = None) -> str:
+    """error, script, filler, furniture or content.
+
+    The evidence is added up: the classifier's log-odds, whether patterns explain the template, and the
+    corpus: how many of its ``n`` sentences stand in short texts. A message told about is content.
+    """
+    text = template.replace("\t", " ").strip().strip("'\"“”‘’")
+    if _TOLD.search(text) and not _TRACE.match(text):
+        return "content"
+    label = pattern_label(template)
+    kind, odds, known = (model or _PLAIN).odds(template.split("\t"))
+    # one sentence says nothing about where a template stands, many do
+    context = max(-MOST_CONTEXT, min(MOST_CONTEXT, math.log((short + 0.5) / (n - short + 0.5)))) * min(1.0, (n - 1) / 10)
+    if label != "content":
+        return label if odds + context > -2 * MOST_CONTEXT else "content"
+    return kind if known >= 0.5 and odds > LEAST_ODDS and odds + context > LEAST_ODDS and short >= 0.5 * n else "content"
+
+
+_PLAIN = Messages([])
+
+
 # Slots left unfilled, in any letter case; brackets of structures and marks of HTML are no slots.
 _NAME = r"[a-z][a-z0-9]*(?:[ _][a-z0-9]+){0,3}"
 _HTML = r"(?!/?(?:a|b|i|p|br|hr|em|li|ol|ul|td|th|tr|div|img|pre|span|code|html|head|body|table|script|noscript|strong|h[1-6])\b)"
 SLOT = re.compile(
     rf"\{{\{{\s*{_NAME}\s*\}}\}}|\$\{{\s*{_NAME}\s*\}}|\$\({_NAME}\)|\{{%\s*{_NAME}\s*%\}}|<%=?\s*{_NAME}\s*%>|\[\[\s*{_NAME}\s*\]\]|<<\s*{_NAME}\s*>>|@@{_NAME}@@|%\({_NAME}\)[sd]"
-    rf"|__{_NAME}__|(?<![\w%])%{_NAME}%(?!\w)|(?<!\w)#[a-z][a-z0-9]*(?:_[a-z0-9]+){{0,3}}#(?!\w)|&lt;\s*{_NAME}\s*&gt;|<{_HTML}{_NAME}>|(?<![\w$%\"'{{])\{{{_NAME}\}}"
+    rf"|(?<![\w~])~{_NAME}~(?![\w~])|(?:^|(?<=[\s|]))[^\W\d_][\w ]{{0,30}}: *(?:_{{3,}}|\?{{2,}})(?=\s|[.;,|]|$)|__{_NAME}__|(?<![\w%])%{_NAME}%(?!\w)|(?<!\w)#[a-z][a-z0-9]*(?:_[a-z0-9]+){{0,3}}#(?!\w)|&lt;\s*{_NAME}\s*&gt;|<{_HTML}{_NAME}>|(?<![\w$%\"'{{])\{{{_NAME}\}}"
     rf"|\[(?:tbd|todo|insert|enter|fill in|your)\b[^\[\]\n]{{0,60}}\]|\((?:enter|insert|fill in) {_NAME}\)|\bxx+\.xx+\b|(?<![\w()\[\]=#+@/\\%.])\[(?=[a-z ]{{3,}}\])(?!sic\]){_NAME}\](?![\w(\[])",
-    re.IGNORECASE,
+    re.IGNORECASE | re.MULTILINE,
 )
 #: A sentence that explains how slots are filled.
 _EXPLAINS = re.compile(
@@ -190,60 +247,72 @@ class Residue:
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"):
         self.docs = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(F.length(F.trim("text")) > 0)
         self.kind = dict(docs.dtypes)[id_col]
+        self.sentences = self._distinct()
         self.common = self._leading()
         self.templates = self._mine()
         self.found = self._propagate()
 
-    def _leading(self) -> frozenset:
-        """Leading tokens frequent enough for a branch; at most DEPTH / RARE of them."""
+    def _distinct(self) -> DataFrame:
+        """(sentence, n, short): different token rows of all texts, the one pass that reads texts for mining."""
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                c: Counter = Counter()
+                n: Counter = Counter()
+                few: Counter = Counter()
                 for t in pdf["text"]:
-                    for s in sentences(t):
-                        c[""] += 1
-                        c.update(set(tokens(s)[:DEPTH]))
-                yield pd.DataFrame({"token": list(c), "n": list(c.values())})
+                    own = [toks for s in sentences(t) if (toks := tokens(s))]
+                    own = ["\t".join(toks) for toks in own]
+                    n.update(own)
+                    if len(own) <= SHORT:
+                        few.update(own)
+                yield pd.DataFrame({"sentence": list(n), "n": list(n.values()), "short": [few[s] for s in n]})
 
-        counts = materialise(spread(self.docs).mapInPandas(run, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")), "residue-lead")
-        total = counts.filter("token = ''").first()
-        least = max(2, (total["n"] if total else 0) * RARE)
-        return frozenset(r["token"] for r in counts.filter((F.col("token") != "") & (F.col("n") >= least)).select("token").collect())
+        found = spread(self.docs).mapInPandas(run, "sentence string, n long, short long")
+        return materialise(found.groupBy("sentence").agg(F.sum("n").alias("n"), F.sum("short").alias("short")), "residue-sentences")
+
+    def _leading(self) -> frozenset:
+        """Leading tokens frequent enough for a branch; at most DEPTH / RARE of them."""
+        lead = F.explode(F.array_distinct(F.slice(F.split("sentence", "\t"), 1, DEPTH))).alias("token")
+        total = self.sentences.agg(F.sum("n")).first()[0] or 0
+        counts = self.sentences.select(lead, "n").groupBy("token").agg(F.sum("n").alias("n"))
+        return frozenset(r["token"] for r in counts.filter(F.col("n") >= max(2, total * RARE)).select("token").collect())
 
     def _mine(self) -> DataFrame:
         common = self.common
 
-        def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
-                seen: Counter = Counter()
-                for t in pdf["text"]:
-                    for s in sentences(t):
-                        toks = tokens(s)
-                        if 0 < len(toks) <= LONGEST:
-                            seen["\t".join(toks)] += 1
-                tree = TemplateTree()
-                for joined, n in sorted(seen.items()):
-                    toks = joined.split("\t")
-                    tree.add(leaf(toks, common), toks, n)
-                yield pd.DataFrame(list(tree.rows()), columns=["path", "template", "n"])
+                pdf["path"] = [leaf(s.split("\t"), common) for s in pdf["sentence"]]
+                yield pdf
 
         def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            tree = TemplateTree()
+            tree, at = TemplateTree(), None
             for pdf in batches:
-                for path, template, n in zip(pdf["path"], pdf["template"], pdf["n"]):
-                    tree.add(path, template.split("\t"), int(n))
-            got = list(tree.rows())
-            verdicts = [classify(t) for _, t, _ in got]
-            for at in range(0, len(got), 50_000):
-                out = pd.DataFrame(got[at : at + 50_000], columns=["path", "template", "n"])
-                out["verdict"] = verdicts[at : at + 50_000]
-                yield out
-
-        schema = "path string, template string, n long"
-        parts = spread(self.docs).mapInPandas(local, schema).groupBy("path", "template").agg(F.sum("n").alias("n"))
-        merged = parts.repartition("path").sortWithinPartitions("path", "template").mapInPandas(merge, schema + ", verdict string")
-        return materialise(merged, "residue-templates")
+                for branch, path, sentence, n, short in zip(pdf["branch"], pdf["path"], pdf["sentence"], pdf["n"], pdf["short"]):
+                    if (path, branch) != at:  # leaves come one after the other; only one is held
+                        if at is not None:
+                            yield pd.DataFrame(list(tree.rows()), columns=["path", "template", "n", "short"])
+                        tree, at = TemplateTree(), (path, branch)
+                    tree.add(path, sentence.split("\t"), int(n), int(short))
+            if at is not None:
+                yield pd.DataFrame(list(tree.rows()), columns=["path", "template", "n", "short"])
+
+        rows = materialise(self.sentences.mapInPandas(placed, "sentence string, n long, short long, path string"), "residue-placed")
+        hot = rows.groupBy("path").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > LEAF_ROWS)  # at most rows / LEAF_ROWS
+        low = F.array_min(F.transform(F.split("sentence", "\t"), lambda t: F.xxhash64(t)))
+        branch = F.when(F.col("size").isNotNull(), F.pmod(low, F.ceil(F.col("size") / F.lit(LEAF_ROWS)))).otherwise(F.lit(0)).cast("long")
+        branched = rows.join(hot, "path", "left").withColumn("branch", branch).drop("size")
+        ordered = branched.repartition("path", "branch").sortWithinPartitions("path", "branch", "sentence")
+        mined = materialise(ordered.mapInPandas(merge, "path string, template string, n long, short long"), "residue-mined")
+        sample = mined.select("template", "n", "short").orderBy(F.xxhash64("template")).limit(MOST_SAMPLE).collect()
+        model = self.docs.sparkSession.sparkContext.broadcast(fitted([tuple(r) for r in sample]))
+
+        def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                pdf["verdict"] = [classify(t, n, short, model.value) for t, n, short in zip(pdf["template"], pdf["n"], pdf["short"])]
+                yield pdf
+
+        return materialise(mined.mapInPandas(judge, "path string, template string, n long, short long, verdict string"), "residue-templates")
 
     def _propagate(self) -> DataFrame:
         common, messages = self.common, self.templates.filter("verdict != 'content'")
@@ -252,7 +321,7 @@ class Residue:
         table: dict[str, list[tuple[list[str], str]]] = {}
         for r in messages.select("path", "template", "verdict").collect():
             table.setdefault(r["path"], []).append((r["template"].split("\t"), r["verdict"]))
-        shared = self.docs.sparkSession.sparkContext.broadcast(table)
+        shared = self.docs.sparkSession.sparkContext.broadcast({p: sorted(x, key=lambda m: SEVERITY.index(m[1])) for p, x in table.items()})
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             known = shared.value
@@ -262,28 +331,38 @@ class Residue:
         return spread(self.docs).mapInPandas(run, f"doc_id {self.kind}")
 
     def _propagate_by_join(self, messages: DataFrame) -> DataFrame:
-        """The same without a broadcast: sentences meet templates by path, verdicts return by document."""
-        common, kind = self.common, self.kind
+        """The same without a broadcast: sentences meet templates by path, verdicts return by text."""
+        common = self.common
 
         def units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for pdf in batches:
                 out = []
-                for d, t in zip(pdf["doc_id"], pdf["text"]):
+                for h, t in zip(pdf["text_id"], pdf["text"]):
                     slot = unfilled(t)
                     for s in sentences(t):
                         toks = tokens(s)
-                        out.append((d, slot, leaf(toks, common) if len(toks) <= LONGEST else "", "\t".join(toks), is_heading(s)))
-                yield pd.DataFrame(out, columns=["doc_id", "slot", "path", "sentence", "heading"])
+                        out.append((h, slot, leaf(toks, common), "\t".join(toks), is_heading(s)))
+                yield pd.DataFrame(out, columns=["text_id", "slot", "path", "sentence", "heading"])
+
+        @F.pandas_udf("boolean")
+        def fits(s: pd.Series, t: pd.Series) -> pd.Series:
+            return pd.Series([matches(a.split("\t"), b.split("\t")) for a, b in zip(s, t)])
 
-        fits = F.udf(lambda s, t: matches(s.split("\t"), t.split("\t")), "boolean")
-        u = spread(self.docs).mapInPandas(units, f"doc_id {kind}, slot boolean, path string, sentence string, heading boolean")
+        # equal texts are judged once, and every row that has such a text comes out
+        docs = self.docs.withColumn("text_id", F.struct(F.xxhash64("text"), F.hash("text"), F.length("text")).cast("string"))
+        u = spread(docs.select("text_id", "text")).mapInPandas(units, "text_id string, slot boolean, path string, sentence string, heading boolean")
         one = u.select("path", "sentence").distinct().join(messages.select("path", "template", "verdict"), "path").filter(fits("sentence", "template"))
-        verdicts = one.groupBy("path", "sentence").agg(F.min("verdict").alias("verdict"))
+        rank = F.array_position(F.array(*map(F.lit, SEVERITY)), F.col("verdict"))
+        verdicts = one.groupBy("path", "sentence").agg(F.min_by("verdict", rank).alias("verdict"))
         v = u.join(verdicts, ["path", "sentence"], "left")
         real = F.col("verdict").isNull() & ~F.col("heading")
         bad = F.col("verdict").isin("error", "script", "filler")
-        per = v.groupBy("doc_id").agg(F.max("slot").alias("slot"), F.max(real).alias("real"), F.max(F.coalesce(bad, F.lit(False))).alias("bad"))
-        return per.filter("slot or (bad and not real)").select("doc_id")
+        per = v.groupBy("text_id").agg(F.max("slot").alias("slot"), F.max(real).alias("real"), F.max(F.coalesce(bad, F.lit(False))).alias("bad"))
+        return docs.join(per.filter("slot or (bad and not real)").select("text_id"), "text_id", "left_semi").select("doc_id")
+
+
+#: Where a sentence fits several templates, the first of these decides.
+SEVERITY = ("error", "script", "filler", "furniture")
 
 
 def is_heading(sentence: str) -> bool:
@@ -301,9 +380,7 @@ def verdict(text: str, known: dict[str, list[tuple[list[str], str]]], common: fr
     bad = False
     for s in sentences(text):
         toks = tokens(s)
-        kind = None
-        if len(toks) <= LONGEST:
-            kind = next((k for t, k in known.get(leaf(toks, common), ()) if matches(toks, t)), None)
+        kind = next((k for t, k in known.get(leaf(toks, common), ()) if matches(toks, t)), None)
         if kind is None:
             if not is_heading(s):
                 return False
