@@ -335,9 +335,9 @@ class Graphs:
     def hashes(self, group: np.ndarray | None = None, groups: int | None = None, radii: tuple[int, ...] = ()) -> tuple[np.ndarray, list[np.ndarray]]:
         """(hash of each group's graph, atom colours after each of ``radii`` rounds).
 
-        Colour refinement over (element, aromatic) and (bond order, ring bond). A group of n atoms is
-        refined n rounds (64 at most), when its colours tell apart all atoms that differ. The result
-        doesn't depend on the order of atoms nor on the rest of the batch.
+        Colour refinement over (element, aromatic) and (bond order, ring bond), until a group's colours
+        tell no more atoms apart. The result doesn't depend on the order of atoms nor on the rest of the
+        batch. Refinement doesn't tell apart all graphs (some regular ones have equal colours).
         """
         group = self.mol if group is None else group
         groups = self.count if groups is None else groups
@@ -345,23 +345,38 @@ class Graphs:
         colour = mix(self.elem * 2 + self.arom)
         kind = mix(self.order * 2 + self.ring)
         a, b, k = self.a, self.b, kind
-        limit = np.minimum(size, 64)
         kept = [colour.copy()] if 0 in radii else []
-        rounds = int(limit.max()) if len(limit) else 0
+        total = np.zeros(groups, np.uint64)
         with np.errstate(over="ignore"):
-            for r in range(1, max(rounds, *radii, 0) + 1 if radii else rounds + 1):
+            classes, going, r, least = self._distinct(group, groups, colour), size > 0, 0, max(radii, default=0)
+            while len(colour) and (going.any() or r < least):
+                r += 1
                 around = np.zeros(len(colour), np.uint64)
                 np.add.at(around, a, mix(colour[b] ^ k))
                 np.add.at(around, b, mix(colour[a] ^ k))
                 fresh = mix(colour * np.uint64(3) + around)
-                colour = np.where(limit[group] >= r, fresh, colour) if len(group) else colour
-                if r in radii:
-                    kept.append(colour.copy())
-            total = np.zeros(groups, np.uint64)
+                if r <= least:  # terms of all radii, then each group on its own
+                    colour = fresh
+                    if r in radii:
+                        kept.append(colour.copy())
+                else:
+                    colour = np.where(going[group], fresh, colour)
+                now = self._distinct(group, groups, colour)
+                going = going & ((now > classes) | (r <= least))
+                classes = now
+            kept += [colour.copy()] * (len(radii) - len(kept))
             np.add.at(total, group, mix(colour))
             total = mix(total + mix(size))
         return total, kept
 
+    @staticmethod
+    def _distinct(group: np.ndarray, groups: int, colour: np.ndarray) -> np.ndarray:
+        """How many colours each group has."""
+        order = np.lexsort((colour, group))
+        g, c = group[order], colour[order]
+        first = np.r_[True, (g[1:] != g[:-1]) | (c[1:] != c[:-1])] if len(g) else np.zeros(0, bool)
+        return np.bincount(g[first], minlength=groups)
+
 
 def signed(h: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
