@@ -4,9 +4,9 @@ An approximate nearest-neighbour graph by neighbour descent, then modularity-bas
 described by its size and by its members of highest internal weighted degree.
 
 Records of equal vectors are one node. Nodes are ordered by MinHash several times over; each ordering
-puts similar nodes side by side, and neighbour descent runs within windows of it. Communities come from
-local moving in the windows of the first ordering; they are contracted, and contracted nodes linked by
-at least the must-link similarity in any ordering are merged until none is left.
+puts similar nodes side by side, and neighbour descent runs within windows of it. Nodes linked by at least
+the must-link similarity are contracted to sets, which no step parts. On the graph of sets, with all links
+of at least WEAK as weights, levels of local moving on modularity and contraction give the communities.
 """
 
 from __future__ import annotations
@@ -30,6 +30,10 @@ WINDOW_ROWS = 4_096
 ROUNDS = 3
 #: Least similarity of a link; also the one from which records must not be parted.
 LINK = 0.6
+#: Least similarity of a link that counts for modularity; unrelated fingerprints of this width stay below.
+WEAK = 0.3
+#: Rows on either side that are compared where they agree in the first two MinHash values.
+MATES = 48
 TYPICAL = 5
 
 
@@ -95,6 +99,34 @@ def neighbour_descent(bits: Bits, k: int = NEIGHBOURS, rounds: int = ROUNDS, see
     return near, sims
 
 
+def prefix_mates(bits: Bits, prefix: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(a, b, similarity) of rows up to MATES apart with equal prefixes, of at least ``least``."""
+    coarse, n = bits.coarse(), len(bits)
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))]
+    for d in range(1, min(MATES, n - 1) + 1):
+        a = np.flatnonzero(prefix[:-d] == prefix[d:])
+        if not len(a):
+            break
+        a = a[coarse.sims(coarse, a, a + d) >= 0.75 * least]  # folded vectors are near what they were
+        s = bits.sims(bits, a, a + d)
+        good = s >= least
+        out.append((a[good], a[good] + d, s[good]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest row reachable from each of n rows by links (a, b)."""
+    label = np.arange(n)
+    while True:
+        low = label.copy()
+        np.minimum.at(low, a, label[b])
+        np.minimum.at(low, b, label[a])
+        low = low[low]
+        if (low == label).all():
+            return label
+        label = low
+
+
 def _keep(bits: Bits, rows: np.ndarray, near: np.ndarray, sims: np.ndarray, cand: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
     """Merge candidates into the best lists of ``rows``; also how many entries changed."""
     k = near.shape[1]
@@ -112,42 +144,6 @@ def _keep(bits: Bits, rows: np.ndarray, near: np.ndarray, sims: np.ndarray, cand
     return np.take_along_axis(all_i, top, 1), np.take_along_axis(all_s, top, 1), changed
 
 
-def local_moving(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, rounds: int = 8) -> np.ndarray:
-    """Community of each node by parallel local moving on modularity.
-
-    In each round the nodes of one hashed half move to the neighbouring community of most gain,
-    w(u, C) - k(u) * k(C) / 2m; the halves alternate, so that two nodes don't swap for ever.
-    """
-    label = np.arange(n)
-    if not len(a):
-        return label
-    src, dst, wt = np.concatenate([a, b]), np.concatenate([b, a]), np.concatenate([w, w])
-    degree = np.bincount(src, wt, n)
-    total = wt.sum()
-    half = (np.arange(n) * 2654435761 >> 7) & 1
-    for r in range(rounds):
-        sigma = np.bincount(label, degree, n)
-        key = src * n + label[dst]
-        uniq, inv = np.unique(key, return_inverse=True)
-        weight = np.bincount(inv, wt)
-        u, c = uniq // n, uniq % n
-        own = label[u] == c
-        gain = weight - degree[u] * (sigma[c] - np.where(own, degree[u], 0)) / total
-        stay = np.zeros(n)
-        stay_sigma = -degree * (sigma[label] - degree) / total
-        stay[:] = stay_sigma
-        stay[u[own]] = gain[own]
-        order = np.lexsort((c, -gain, u))
-        u, c, gain = u[order], c[order], gain[order]
-        first = np.r_[True, u[1:] != u[:-1]]
-        u, c, gain = u[first], c[first], gain[first]
-        move = (gain > stay[u] + 1e-12) & (half[u] == r % 2) & (c != label[u])
-        if not move.any() and r % 2:
-            break
-        label[u[move]] = c[move]
-    return label
-
-
 def _nodes(records: DataFrame, mol_id: str, column: str) -> tuple[DataFrame, DataFrame]:
     """(rows, nodes): (id, node) of usable records; (node, vec, copies) of different vectors."""
     vectors = materialise(packed(records, mol_id, column, "bits", WIDTH), "cluster-vectors")
@@ -187,15 +183,16 @@ class Clusters:
         ordered = _ordered(nodes, kind).withColumn("salt", F.xxhash64("node"))
 
         def descend(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            """Windows of one ordering: links, and in the first ordering communities (b null)."""
+            """Windows of one ordering: links, and in the first ordering must-link sets of the window (tag 1)."""
             for pdf in batches:
                 for ordering, own in pdf.groupby("ordering", sort=False):
                     for at in range(0, len(own), WINDOW_ROWS):
                         part = own.iloc[at : at + WINDOW_ROWS]
-                        names = part["node"].to_numpy()
-                        near, sims = neighbour_descent(Bits.from_bytes(list(part["vec"])))
-                        r, c = np.nonzero((near >= 0) & (sims >= link - 1e-6))
-                        a, b, w = r, near[r, c], sims[r, c]
+                        names, bits = part["node"].to_numpy(), Bits.from_bytes(list(part["vec"]))
+                        near, sims = neighbour_descent(bits)
+                        r, c = np.nonzero((near >= 0) & (sims >= WEAK))
+                        x, y, z = prefix_mates(bits, part["prefix"].to_numpy(), WEAK)
+                        a, b, w = np.concatenate([r, x]), np.concatenate([near[r, c], y]), np.concatenate([sims[r, c], z])
                         lo, hi = np.minimum(a, b), np.maximum(a, b)
                         _, once = np.unique(lo * len(part) + hi, return_index=True)
                         lo, hi, w = lo[once], hi[once], w[once]
@@ -203,31 +200,67 @@ class Clusters:
                         x, y = np.where(swap, names[hi], names[lo]), np.where(swap, names[lo], names[hi])
                         out = [pd.DataFrame({"a": x, "b": y, "sim": w.astype(float), "tag": 0})]
                         if ordering == 0:
-                            label = local_moving(len(part), lo, hi, w.astype(float))
-                            low = np.full(len(part), names.max() if len(names) else 0, names.dtype)
+                            must = w >= link - 1e-6
+                            label = joined(len(part), lo[must], hi[must])
+                            low = names.copy()
                             np.minimum.at(low, label, names)
                             out.append(pd.DataFrame({"a": names, "b": low[label], "sim": 0.0, "tag": 1}))
                         yield pd.concat(out)
 
+        prefix = F.substring("key", 1, 4)  # two MinHash values
         ranged = ordered.repartitionByRange(parts, "ordering", "key", "salt").sortWithinPartitions("ordering", "key", "salt")
-        found = materialise(ranged.select("ordering", "node", "vec").mapInPandas(descend, f"a {kind}, b {kind}, sim double, tag int"), "cluster-graph")
-        self.links = found.filter("tag = 0").groupBy("a", "b").agg(F.max("sim").alias("sim"))
-        community = found.filter("tag = 1").select(F.col("a").alias("node"), F.col("b").alias("community"))
-        # contract: links between communities
-        la = community.select(F.col("node").alias("a"), F.col("community").alias("ca"))
-        lb = community.select(F.col("node").alias("b"), F.col("community").alias("cb"))
-        links = found.filter("tag = 0").select("a", "b")
-        across = links.join(la, "a").join(lb, "b").filter("ca != cb")
-        pairs = materialise(across.select(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).distinct(), "cluster-contracted")
-        root = merge_connected(pairs, kind)
-        merged = community.join(root, community["community"] == root["x"], "left").select("node", F.coalesce("root", "community").alias("set_id"))
+        ranged = ranged.select("ordering", "node", "vec", F.conv(F.hex(prefix), 16, 10).cast("long").alias("prefix"))
+        found = materialise(ranged.mapInPandas(descend, f"a {kind}, b {kind}, sim double, tag int"), "cluster-graph")
+        self.links = materialise(found.filter("tag = 0").groupBy("a", "b").agg(F.max("sim").alias("sim")), "cluster-links")
+        window = found.filter("tag = 1").select(F.col("a").alias("node"), F.col("b").alias("community"))
+        # contract: must-links between the sets of windows
+        root = merge_connected(self._between(window, self.links.filter(F.col("sim") >= link - 1e-6)).select("x", "y"), kind)
+        sets = window.join(root, window["community"] == root["x"], "left").select("node", F.coalesce("root", "community").alias("set_id"))
+        sets = materialise(sets, "cluster-must")
+        groups = self._communities(sets, kind)
+        merged = sets.join(groups, sets["set_id"] == groups["x"], "left").select("node", "set_id", F.coalesce("group_id", "set_id").alias("group_id"))
         self.nodes = materialise(merged.join(nodes.select("node", "copies"), "node"), "cluster-sets")
         self.members_of_nodes, self.vectors = rows, nodes.select("node", "vec")
         # only nodes that share a set, or copies, need their rows looked up
         self.sets = self._sets(rows)
 
+    @staticmethod
+    def _between(label: DataFrame, links: DataFrame) -> DataFrame:
+        """(x, y, w): links (a, b, sim) summed by the labels (node, label) of their ends, where these differ."""
+        name = label.columns[1]
+        la = label.select(F.col("node").alias("a"), F.col(name).alias("ca"))
+        lb = label.select(F.col("node").alias("b"), F.col(name).alias("cb"))
+        across = links.join(la, "a").join(lb, "b").filter("ca != cb")
+        return materialise(across.groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.sum("sim").alias("w")), "cluster-contracted")
+
+    def _communities(self, sets: DataFrame, kind: str) -> DataFrame:
+        """(x, group_id): the community of each set that has weaker links to others.
+
+        Levels of local moving over the whole contracted graph, each on the communities of the one before,
+        until a level joins nothing more. Links within a set or community count for its degree.
+        """
+        links = self._between(sets, self.links)
+        if links.isEmpty():
+            return sets.sparkSession.createDataFrame([], f"x {kind}, group_id {kind}")
+        ends = self.links.select(F.col("a").alias("node"), "sim").unionByName(self.links.select(F.col("b").alias("node"), "sim"))
+        degree = materialise(ends.join(sets, "node").groupBy(F.col("set_id").alias("x")).agg(F.sum("sim").alias("k")), "cluster-degrees")
+        total = degree.agg(F.sum("k")).first()[0]
+        group = None
+        while True:
+            label = move_all(links, degree, total)
+            changed = label.filter("x != c").limit(1).count() > 0
+            if group is None:
+                group = label.select("x", F.col("c").alias("group_id"))
+            elif changed:
+                up = label.select(F.col("x").alias("group_id"), F.col("c").alias("upper"))
+                group = materialise(group.join(up, "group_id", "left").select("x", F.coalesce("upper", "group_id").alias("group_id")), "cluster-groups")
+            if not changed:
+                return group
+            links = self._between(label.select(F.col("x").alias("node"), "c"), links.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("w").alias("sim")))
+            degree = materialise(degree.join(label, "x", "left").groupBy(F.coalesce("c", "x").alias("x")).agg(F.sum("k").alias("k")), "cluster-degrees")
+
     def _sets(self, rows: DataFrame) -> DataFrame:
-        return attach_heads(rows, self.nodes, ["node"], "copies").select(F.col("id").alias("mol_id"), "set_id", "node")
+        return attach_heads(rows, self.nodes, ["node"], "copies").select(F.col("id").alias("mol_id"), "set_id", "group_id", "node")
 
     def found(self) -> DataFrame:
         """(first_id, mol_id): members of each set of at least three records but the smallest id."""
@@ -244,37 +277,42 @@ class Clusters:
         degree = ends.join(other, "b").groupBy("node").agg(F.sum(F.col("sim") * F.col("times")).alias("d"))
         return self.nodes.join(degree, "node", "left").withColumn("degree", F.coalesce("d", F.lit(0.0)) + F.col("copies") - 1).drop("d")
 
-    def cluster_of_sets(self, most: int) -> DataFrame:
-        """(set_id, cluster_id, n): every set of two or more records is a cluster of its own if ``most`` allows.
+    def cluster_of_groups(self, most: int) -> DataFrame:
+        """(group_id, cluster_id, n): every community of two or more records is a cluster of its own if ``most`` allows.
 
-        Single records share the clusters left, by hash. Where there are too many sets, the largest get
-        clusters (all but a tenth of ``most``), and each other one joins the cluster whose center is most
-        similar to its own; centers are the members of highest degree. The last cluster is kept for
-        records without a usable vector.
+        Where there are too many communities, the largest get clusters (all but a tenth of ``most``), and
+        each other one joins the cluster whose center is most similar to its own; centers are the members
+        of highest degree. Single records join the most similar of a sample of themselves, one for each
+        cluster left. The last cluster is kept for records without a usable vector.
         """
         if most < 3:
             raise ValueError("at least three clusters are needed")
-        sizes = materialise(self.nodes.groupBy("set_id").agg(F.sum("copies").alias("n")), "cluster-sizes")
+        sizes = materialise(self.nodes.groupBy("group_id").agg(F.sum("copies").alias("n")), "cluster-sizes")
         several = sizes.filter("n > 1").count()
         own = several if several <= most - 2 else most - max(1, most // 10) - 1
         shared = most - own - 1
-        top = sizes.filter("n > 1").orderBy(F.desc("n"), "set_id").limit(own)
-        top = top.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "set_id")))  # at most ``most`` rows
-        top = materialise(top.select("set_id", "cluster_id", "n"), "cluster-own")
-        singles = sizes.filter("n = 1").withColumn("cluster_id", (F.lit(own + 1) + F.pmod(F.xxhash64("set_id"), F.lit(shared))).cast("int"))
-        out = top.unionByName(singles.select("set_id", "cluster_id", "n"))
+        top = sizes.filter("n > 1").orderBy(F.desc("n"), "group_id").limit(own)
+        top = top.withColumn("cluster_id", F.row_number().over(Window.orderBy(F.desc("n"), "group_id")))  # at most ``most`` rows
+        top = materialise(top.select("group_id", "cluster_id", "n"), "cluster-own")
+        alone = sizes.filter("n = 1")
+        lead = alone.orderBy(F.xxhash64("group_id"), "group_id").limit(shared)  # at most ``most`` rows
+        lead = lead.withColumn("cluster_id", F.lit(own) + F.row_number().over(Window.orderBy(F.xxhash64("group_id"), "group_id")))
+        lead = materialise(lead.select("group_id", "cluster_id", "n"), "cluster-lead")
+        rest = alone.join(F.broadcast(lead.select("group_id")), "group_id", "left_anti")
+        out = top.unionByName(lead).unionByName(materialise(self._nearest(rest, lead), "cluster-single"))
         if several > own:
-            beyond = sizes.filter("n > 1").join(F.broadcast(top.select("set_id")), "set_id", "left_anti")
+            beyond = sizes.filter("n > 1").join(F.broadcast(top.select("group_id")), "group_id", "left_anti")
             out = out.unionByName(materialise(self._nearest(beyond, top), "cluster-beyond"))
         return out
 
-    def _nearest(self, sets: DataFrame, top: DataFrame) -> DataFrame:
-        """(set_id, cluster_id, n): for each of ``sets``, the cluster of ``top`` with the most similar center."""
+    def _nearest(self, groups: DataFrame, top: DataFrame) -> DataFrame:
+        """(group_id, cluster_id, n): for each of ``groups``, the cluster of ``top`` with the most similar center."""
         best = F.min(F.struct((-F.col("degree")).alias("by"), F.col("node").alias("node")))
-        heads = self._ranked().groupBy("set_id").agg(best.alias("x")).select("set_id", F.col("x.node").alias("node"))
-        heads = materialise(heads.join(sets.select("set_id").unionByName(top.select("set_id")), "set_id").join(self.vectors, "node").select("set_id", "vec"), "cluster-centers")
-        centers = heads.join(F.broadcast(top), "set_id").orderBy("cluster_id").select("cluster_id", "vec").toPandas()  # at most ``most`` rows
-        sent = sets.sparkSession.sparkContext.broadcast((centers["cluster_id"].to_numpy(), list(centers["vec"])))
+        heads = self._ranked().join(groups.select("group_id").unionByName(top.select("group_id")), "group_id", "left_semi")
+        heads = heads.groupBy("group_id").agg(best.alias("x")).select("group_id", F.col("x.node").alias("node"))
+        heads = materialise(heads.join(self.vectors, "node").select("group_id", "vec"), "cluster-centers")
+        centers = heads.join(F.broadcast(top), "group_id").orderBy("cluster_id").select("cluster_id", "vec").toPandas()  # at most ``most`` rows
+        sent = groups.sparkSession.sparkContext.broadcast((centers["cluster_id"].to_numpy(), list(centers["vec"])))
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             names, vecs = sent.value
@@ -287,19 +325,19 @@ class Clusters:
                     here = s.argmax(1)
                     value = s[np.arange(len(ask)), here]
                     near, high = np.where(value > high, at + here, near), np.maximum(high, value)
-                yield pd.DataFrame({"set_id": pdf["set_id"], "cluster_id": names[near], "n": pdf["n"]})
+                yield pd.DataFrame({"group_id": pdf["group_id"], "cluster_id": names[near], "n": pdf["n"]})
 
-        asked = spread(heads.join(sets, "set_id").select("set_id", "vec", "n"))
-        return asked.mapInPandas(run, f"set_id {dict(sets.dtypes)['set_id']}, cluster_id int, n long")
+        asked = spread(heads.join(groups, "group_id").select("group_id", "vec", "n"))
+        return asked.mapInPandas(run, f"group_id {dict(groups.dtypes)['group_id']}, cluster_id int, n long")
 
     def sharing(self, most: int) -> int:
-        """How many sets of two or more records don't have a cluster of their own."""
-        per = self.cluster_of_sets(most).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("sets"), F.sum((F.col("n") > 1).cast("long")).alias("several"))
+        """How many communities of two or more records don't have a cluster of their own."""
+        per = self.cluster_of_groups(most).groupBy("cluster_id").agg(F.count(F.lit(1)).alias("sets"), F.sum((F.col("n") > 1).cast("long")).alias("several"))
         return per.filter("sets > 1").agg(F.coalesce(F.sum("several"), F.lit(0))).first()[0]
 
     def members(self, most: int) -> DataFrame:
         """(mol_id, set_id, cluster_id): each record once; at most ``most`` clusters."""
-        named = attach_heads(self.sets.select("mol_id", "set_id"), self.cluster_of_sets(most), ["set_id"], "n").select("mol_id", "set_id", "cluster_id")
+        named = attach_heads(self.sets.select("mol_id", "set_id", "group_id"), self.cluster_of_groups(most), ["group_id"], "n").select("mol_id", "set_id", "cluster_id")
         none = self.ids.join(named.select("mol_id"), "mol_id", "left_anti")
         return named.unionByName(none.select("mol_id", F.lit(None).cast(dict(named.dtypes)["set_id"]).alias("set_id"), F.lit(most).alias("cluster_id")))
 
@@ -308,24 +346,53 @@ class Clusters:
 
         Copies weigh as links of similarity 1; ties go to the smaller id.
         """
-        placed = attach_heads(self._ranked(), self.cluster_of_sets(most), ["set_id"], "n").select("cluster_id", "node", "copies", "set_id", "degree")
+        placed = attach_heads(self._ranked(), self.cluster_of_groups(most), ["group_id"], "n")
+        placed = materialise(placed.select("cluster_id", "node", "copies", "set_id", "degree"), "cluster-placed")
+        # the best few of each (cluster, salt), then of each cluster; no list holds more
+        order = Window.partitionBy("cluster_id", F.pmod(F.xxhash64("node"), F.lit(64))).orderBy(F.desc("degree"), "node")
+        few = placed.withColumn("r", F.row_number().over(order)).filter(F.col("r") <= TYPICAL)
         best = F.struct((-F.col("degree")).alias("by"), F.col("node").alias("node"))
-        # partial lists before the shuffle: best few of each (cluster, salt), then of each cluster
-        salted = placed.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(64))).groupBy("cluster_id", "salt").agg(
-            F.sum("copies").alias("records"), F.slice(F.sort_array(F.collect_list(best)), 1, TYPICAL).alias("few"), F.collect_set(F.when(F.col("node") == F.col("set_id"), F.col("node"))).alias("heads")
-        )
-        return salted.groupBy("cluster_id").agg(
-            F.sum("records").alias("records"), F.sum(F.size("heads")).alias("sets"),
-            F.transform(F.slice(F.sort_array(F.flatten(F.collect_list("few"))), 1, TYPICAL), lambda x: x["node"]).alias("typical"),
-        )
+        typical = few.groupBy("cluster_id").agg(F.transform(F.slice(F.sort_array(F.collect_list(best)), 1, TYPICAL), lambda x: x["node"]).alias("typical"))
+        size = placed.groupBy("cluster_id").agg(F.sum("copies").alias("records"), F.count_if(F.col("node") == F.col("set_id")).alias("sets"))
+        return size.join(typical, "cluster_id").select("cluster_id", "records", "sets", "typical")
+
+
+def move_all(links: DataFrame, degree: DataFrame, total: float, rounds: int = 8) -> DataFrame:
+    """(x, c): the community of each end of ``links`` (x, y, w) by parallel local moving on modularity.
+
+    ``degree``: (x, k), ``total``: the sum of all degrees. In each round the nodes of one hashed half move to
+    the neighbouring community of most gain, w(u, C) - k(u) * k(C) / 2m; the halves alternate, so that two
+    nodes don't swap for ever. A community is named by one of its members.
+    """
+    both = links.select("x", "y", "w").unionByName(links.select(F.col("y").alias("x"), F.col("x").alias("y"), "w"))
+    both = materialise(both, "moving-links")
+    label = materialise(both.select("x").distinct().join(degree, "x").withColumn("c", F.col("x")), "moving-labels")
+    still = 0
+    for r in range(rounds):
+        mass = label.groupBy("c").agg(F.sum("k").alias("mass"))
+        of = label.select(F.col("x").alias("y"), "c")
+        reach = both.join(of, "y").groupBy("x", "c").agg(F.sum("w").alias("w"))
+        own = label.select("x", "k", F.col("c").alias("mine"))
+        reach = reach.unionByName(label.select("x", "c", F.lit(0.0).alias("w"))).groupBy("x", "c").agg(F.sum("w").alias("w"))
+        scored = reach.join(mass, "c").join(own, "x")
+        gain = F.col("w") - F.col("k") * (F.col("mass") - F.when(F.col("c") == F.col("mine"), F.col("k")).otherwise(0.0)) / F.lit(total)
+        scored = scored.withColumn("gain", gain)
+        best = scored.groupBy("x").agg(F.max(F.struct(F.round("gain", 9).alias("g"), (F.col("c") == F.col("mine")).alias("stay"), F.col("c").alias("c"))).alias("b"), F.first("k").alias("k"), F.first("mine").alias("mine"))
+        turn = F.pmod(F.xxhash64("x"), F.lit(2)) == r % 2
+        moved = materialise(best.select("x", "k", F.when(turn, F.col("b.c")).otherwise(F.col("mine")).alias("c"), "mine"), "moving-labels")
+        still = still + 1 if moved.filter("c != mine").limit(1).count() == 0 else 0
+        label = moved.select("x", "k", "c")
+        if still == 2:
+            break
+    return label.select("x", "c")
 
 
-def merge_connected(pairs: DataFrame, kind: str, most_rounds: int = 30) -> DataFrame:
+def merge_connected(pairs: DataFrame, kind: str) -> DataFrame:
     """(x, root): the smallest id reachable from each end of ``pairs`` (x, y), by label passing with jumps."""
     both = materialise(pairs.unionByName(pairs.select(F.col("y").alias("x"), F.col("x").alias("y"))), "merge-edges")
     label = both.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("root"))
     label = materialise(label, "merge-labels")
-    for _ in range(most_rounds):
+    while True:  # each round at least halves the way to a root
         seen = label.select(F.col("x").alias("y"), F.col("root").alias("r"))
         low = both.join(seen, "y").groupBy("x").agg(F.min("r").alias("low"))
         step = label.join(low, "x").select("x", F.least("root", "low").alias("root"))
@@ -336,4 +403,3 @@ def merge_connected(pairs: DataFrame, kind: str, most_rounds: int = 30) -> DataF
         if fresh.join(old, "x").filter("root != was").limit(1).count() == 0:
             return fresh
         label = fresh
-    raise RuntimeError("components did not settle")

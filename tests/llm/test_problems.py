@@ -108,10 +108,27 @@ def test_sets_have_clusters_of_their_own(spark):
     assert queries._most(spark, DATA) == 10_000
 
 
-def test_local_moving_finds_two_cliques():
-    a, b = zip(*[(i, j) for g in (range(6), range(6, 12)) for i in g for j in g if i < j], (5, 6))
-    label = clusters.local_moving(12, np.array(a), np.array(b), np.ones(len(a)))
-    assert len(set(label[:6])) == 1 and len(set(label[6:])) == 1 and label[0] != label[11]
+def test_moving_finds_two_cliques(spark):
+    links = [(i, j, 1.0) for g in (range(6), range(6, 12)) for i in g for j in g if i < j] + [(5, 6, 1.0)]
+    df = spark.createDataFrame(links, "x long, y long, w double")
+    k = {i: sum(w for x, y, w in links if i in (x, y)) for i in range(12)}
+    label = {r["x"]: r["c"] for r in clusters.move_all(df, spark.createDataFrame(list(k.items()), "x long, k double"), 2.0 * len(links)).collect()}
+    assert len({label[i] for i in range(6)}) == 1 and len({label[i] for i in range(6, 12)}) == 1 and label[0] != label[11]
+
+
+def test_communities_differ_from_components(spark):
+    rng = np.random.default_rng(8)
+    core_a, core_b, rest = range(40), range(40, 80), np.arange(80, 2048)
+    on = [{*core_a, *rng.choice(rest, 20, replace=False).tolist()} for _ in range(7)] + [{*core_b, *rng.choice(rest, 20, replace=False).tolist()} for _ in range(7)]
+    on[0] = {*core_a, *range(40, 72)}  # similar to all of them
+    on += [on[3] ^ {100 + i} for i in range(2)]  # a must-link set with record 3
+    df = spark.createDataFrame([(i, [int(b in x) for b in range(2048)]) for i, x in enumerate(on)], "mol_id long, morgan2048_fp array<int>")
+    c = clusters.Clusters(df)
+    group = {r["node"]: (r["set_id"], r["group_id"]) for r in c.nodes.collect()}
+    assert group[3][0] == group[14][0] == group[15][0] == 3 and len({s for s, _ in group.values()}) == 14
+    assert len({group[i][1] for i in (*range(7), 14, 15)}) == 1 and len({group[i][1] for i in range(7, 14)}) == 1
+    assert group[1][1] != group[8][1]  # though links of record 0 connect them
+    assert sorted(map(tuple, c.found().collect())) == [(3, 14), (3, 15)]
 
 
 def test_neighbours_against_brute_force(spark):
