@@ -17,7 +17,8 @@ from molquarry.functions.smiles import canonical_text
 from molquarry.operators.skew import attach_heads
 from molquarry.session import materialise, spread
 
-#: Bytes by which an oversized bucket is split further, and the first prefix.
+#: Bytes of the first prefix, and those by which an oversized bucket is split further; these double with
+#: each level, so that long common prefixes take few levels.
 STRIDE = 2
 #: Bytes of one trie edge.
 EDGE = 8
@@ -40,25 +41,26 @@ def canonical_rows(rows: DataFrame, scope: str, row_id: str, text: str) -> DataF
 
 
 def radix_buckets(partial: DataFrame, capacity: int) -> DataFrame:
-    """``partial`` with its bucket: the shortest prefix (in steps of STRIDE bytes) that fits.
+    """``partial`` with its bucket: a prefix short enough to be shared and long enough to fit.
 
-    Each level counts only the rows still in oversized buckets. A prefix is oversized if it holds more
-    than ``capacity`` partial rows, so at most rows / capacity prefixes are carried to the next level,
-    and only these are broadcast. The recursion ends when every bucket fits or holds one string.
+    A prefix is oversized if it holds more than ``capacity`` partial rows of different strings, so at most
+    rows / capacity prefixes are carried to the next level, and only these are broadcast. Only rows of
+    oversized buckets are written again for it. It ends when every bucket fits or holds one string.
     """
     data = partial.withColumn("bytes", F.encode("canon", "utf-8"))
-    key = F.concat_ws("|", "scope", F.hex(F.substring("bytes", 1, STRIDE)))
-    data, depth = data.withColumn("bucket", key), STRIDE
-    large = _oversized(data, capacity)
+    open_, done = data.withColumn("bucket", F.concat_ws("|", "scope", F.hex(F.substring("bytes", 1, STRIDE)))), None
+    depth, stride = STRIDE, STRIDE
+    large = _oversized(open_, capacity)
     while large:
-        spark = data.sparkSession
-        marks = F.broadcast(spark.createDataFrame([(b,) for b in large], "bucket string").withColumn("split", F.lit(True)))
-        at = depth + 1
-        finer = F.concat("bucket", F.hex(F.expr(f"substring(bytes, {at}, {STRIDE})")))
-        data = data.join(marks, "bucket", "left").withColumn("bucket", F.when(F.col("split"), finer).otherwise(F.col("bucket"))).drop("split")
-        depth += STRIDE
-        large = _oversized(data.filter(F.length("bytes") > depth - STRIDE), capacity)
-    return data.drop("bytes")
+        marks = F.broadcast(open_.sparkSession.createDataFrame([(b,) for b in large], "bucket string").withColumn("split", F.lit(True)))
+        marked = open_.join(marks, "bucket", "left")
+        fits = marked.filter("split is null").drop("split")
+        done = fits if done is None else done.unionByName(fits)
+        finer = F.concat("bucket", F.hex(F.substring("bytes", depth + 1, stride)))
+        open_ = materialise(marked.filter("split").withColumn("bucket", finer).drop("split"), "copies-oversized")
+        large = _oversized(open_.filter(F.length("bytes") > depth), capacity)
+        depth, stride = depth + stride, 2 * stride
+    return (open_ if done is None else done.unionByName(open_)).drop("bytes")
 
 
 def _oversized(data: DataFrame, capacity: int) -> list[str]:
@@ -98,8 +100,8 @@ def collapse(canon: DataFrame, capacity: int = 100_000) -> DataFrame:
 
     ``canon`` has (scope, id, canon), as from ``canonical_rows``. Copies are counted in each batch
     before anything is shuffled, so a string that holds a third of all rows sends one partial row a
-    batch. Buckets go to tasks by hash; a task keeps one trie for each bucket it gets, and a bucket of
-    one string never needs more than its one terminal.
+    batch. Buckets go to tasks by hash and come there one after the other, so that a
+    task holds one trie, and a bucket of one string never needs more than its one terminal.
     """
     kind = dict(canon.dtypes)["id"]
 
@@ -107,21 +109,24 @@ def collapse(canon: DataFrame, capacity: int = 100_000) -> DataFrame:
         for pdf in batches:
             yield pdf.groupby(["scope", "canon"], sort=False)["id"].agg(n="size", first="min").reset_index()
 
+    def counted(scope: str, trie: CountingTrie) -> Iterator[pd.DataFrame]:
+        got = [(scope, k.decode(), n, first) for k, n, first in trie.items()]
+        for at in range(0, len(got), 50_000):
+            yield pd.DataFrame(got[at : at + 50_000], columns=["scope", "canon", "copies", "first_id"])
+
     def count(pdfs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tries: dict[str, tuple[str, CountingTrie]] = {}
+        at, of, trie = None, None, CountingTrie()
         for pdf in pdfs:
             for scope, text, n, first, bucket in zip(pdf["scope"], pdf["canon"], pdf["n"], pdf["first"], pdf["bucket"]):
-                if bucket not in tries:
-                    tries[bucket] = (scope, CountingTrie())
-                tries[bucket][1].add(text.encode(), n, first)
-        for scope, trie in tries.values():
-            got = [(scope, k.decode(), n, first) for k, n, first in trie.items()]
-            for at in range(0, len(got), 50_000):
-                yield pd.DataFrame(got[at : at + 50_000], columns=["scope", "canon", "copies", "first_id"])
+                if bucket != at:
+                    yield from counted(of, trie)
+                    at, of, trie = bucket, scope, CountingTrie()
+                trie.add(text.encode(), n, first)
+        yield from counted(of, trie)
 
     part = materialise(canon.mapInPandas(partial, f"scope string, canon string, n long, first {kind}"), "copies-partial")
     bucketed = radix_buckets(part, capacity)
-    return bucketed.repartition("bucket").mapInPandas(count, f"scope string, canon string, copies long, first_id {kind}")
+    return bucketed.repartition("bucket").sortWithinPartitions("bucket").mapInPandas(count, f"scope string, canon string, copies long, first_id {kind}")
 
 
 def copies(canon: DataFrame, groups: DataFrame) -> DataFrame:

@@ -152,7 +152,7 @@ def assign(parts: DataFrame, targets: list[tuple[str, float]], seed: int = 7) ->
 
     chains = spark.range(CHAINS).select(F.col("id").cast("int").alias("chain"))
     tried = materialise(
-        heavy.crossJoin(F.broadcast(chains)).groupBy("chain").applyInPandas(lambda pdf: next(chain(iter([pdf]))), "chain int, component string, at long, n double, cost double"),
+        heavy.crossJoin(F.broadcast(chains)).repartitionByRange(CHAINS, "chain").groupBy("chain").applyInPandas(lambda pdf: next(chain(iter([pdf]))), "chain int, component string, at long, n double, cost double"),
         "split-heavy",
     )
     cheapest = tried.groupBy("chain").agg(F.first("cost").alias("cost")).orderBy("cost", "chain").first()

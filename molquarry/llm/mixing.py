@@ -16,13 +16,16 @@ from molquarry.session import materialise, spread
 MOST_SOURCES = 100_000
 
 
-def source_tokens(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
-    """(source, docs, tokens) of the sources with a target; partial sums before the shuffle."""
-    wanted = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("source", "text")
+def document_tokens(docs: DataFrame, targets: DataFrame, path: str | None = None) -> DataFrame:
+    """(doc_id, source, n): tokens of each document of a source with a target; each text is encoded once."""
+    wanted = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "source", "text")
     wanted = wanted.join(F.broadcast(targets.select("source").distinct()), "source", "left_semi")
-    return spread(wanted).select("source", count_tokens(F.col("text"), path).alias("n")).groupBy("source").agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens")
-    )
+    return spread(wanted).select("doc_id", "source", count_tokens(F.col("text"), path).alias("n"))
+
+
+def source_tokens(counted: DataFrame) -> DataFrame:
+    """(source, docs, tokens) from document_tokens(); partial sums before the shuffle."""
+    return counted.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("tokens"))
 
 
 def rates(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None) -> DataFrame:
@@ -52,12 +55,16 @@ def draw(docs: DataFrame, rated: DataFrame, seed: int = 11) -> DataFrame:
 
     Documents of no target source, and null and empty texts, are not drawn.
     """
-    table = F.broadcast(rated.select("source", "rate"))
-    d = docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "source").join(table, "source")
+    d = times(docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).select("doc_id", "source"), rated, seed)
+    return d.filter("times > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+
+
+def times(docs: DataFrame, rated: DataFrame, seed: int) -> DataFrame:
+    """``docs`` of the rated sources with ``times``: floor(rate), and one more by the hash of doc_id."""
+    d = docs.join(F.broadcast(rated.select("source", "rate")), "source")
     luck = F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 53)) / float(1 << 53)
     whole = F.floor(F.col("rate") + 1e-9)
-    times = (whole + (luck < F.greatest(F.col("rate") - whole, F.lit(0.0))).cast("long")).cast("int")
-    return d.withColumn("times", times).filter("times > 0").select("doc_id", "source", F.explode(F.sequence(F.lit(1), "times")).alias("copy"))
+    return d.withColumn("times", (whole + (luck < F.greatest(F.col("rate") - whole, F.lit(0.0))).cast("long")).cast("int")).drop("rate")
 
 
 class Mix:
@@ -68,21 +75,19 @@ class Mix:
     """
 
     def __init__(self, docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, path: str | None = None, seed: int = 11):
-        self.docs, self.targets, self.path = docs, targets, path
-        sizes = materialise(source_tokens(docs, targets, path), "mix-sizes")
+        self.seed = seed
+        self.counted = materialise(document_tokens(docs, targets, path), "mix-tokens")
+        sizes = materialise(source_tokens(self.counted), "mix-sizes")
         self.rates = materialise(rates(sizes, targets, total_tokens), "mix-rates")
         self.drawn = draw(docs, self.rates, seed)
 
     def report(self) -> DataFrame:
         """(source, target_share, actual_share, tokens_drawn, docs_drawn, max_copies, rate) as drawn.
 
-        Documents that some draw took are counted in tokens; each text is encoded once.
+        From the tokens counted for the rates; rows that share a doc_id count each by its own text.
         """
-        n = self.drawn.groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("times"), F.max("copy").alias("copies"))
-        d = self.docs.filter(F.col("text").isNotNull() & (F.col("text") != "")).groupBy("doc_id", "source").agg(F.first("text").alias("text"))
-        drawn = d.join(n, ["doc_id", "source"]).withColumn("n", count_tokens(F.col("text"), self.path))
-        per = drawn.groupBy("source").agg(
-            F.sum(F.col("n") * F.col("times")).alias("tokens_drawn"), F.sum("times").alias("docs_drawn"), F.max("copies").alias("max_copies")
+        per = times(self.counted, self.rates, self.seed).groupBy("source").agg(
+            F.sum(F.col("n") * F.col("times")).alias("tokens_drawn"), F.sum("times").alias("docs_drawn"), F.max("times").alias("max_copies")
         )
         total = per.agg(F.sum("tokens_drawn").alias("all_tokens"))
         r = self.rates.join(F.broadcast(per), "source", "left").na.fill(0, ["tokens_drawn", "docs_drawn", "max_copies"]).crossJoin(F.broadcast(total))
