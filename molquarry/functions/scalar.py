@@ -92,6 +92,22 @@ def recommended_k(rows: Column, batch: Column) -> Column:
     return by_size
 
 
+def hard_k_by_share(batch: Column, k: int, share: float) -> Column:
+    """Hardest negatives to use: ``k``, at most batch - 1 and the share of the batch, at least 1; 0 for a batch of 1."""
+    least = F.least(F.lit(k), batch - 1, F.floor(batch * F.lit(share)))
+    return F.when(batch > 1, F.greatest(F.lit(1), least)).otherwise(F.lit(0)).cast("int")
+
+
+def hard_k_by_quarter(rows: Column, columns: Column, most: int = 10) -> Column:
+    """A quarter of the rows, from 1 to all negatives of a row, ``most`` at most."""
+    return F.least(F.greatest(F.floor(rows / F.lit(4)), F.lit(1)), F.greatest(columns - 1, F.lit(1)), F.lit(most)).cast("int")
+
+
+def vocab_size(vocab: list) -> int:
+    """Codes of vocab_index(): one for each entry, the unknown one among them."""
+    return len(vocab)
+
+
 def pad(a: Column, size: Column, value: float) -> Column:
     """An array with ``value`` appended up to ``size``."""
     return F.concat(a, F.array_repeat(F.lit(value), F.greatest(size - F.size(a), F.lit(0)).cast("int")))

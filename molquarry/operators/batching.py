@@ -28,3 +28,16 @@ def padded_square(rows: DataFrame, column: str, value: float) -> DataFrame:
     wide = F.transform(column, lambda r: scalar.pad(r, F.col("longest"), value))
     empty = F.array_repeat(F.array_repeat(F.lit(value), F.col("longest").cast("int")), F.greatest(F.col("longest") - F.size(column), F.lit(0)).cast("int"))
     return x.withColumn(column, F.concat(wide, empty))
+
+
+def padded_rows(rows: DataFrame, column: str, width: int) -> DataFrame:
+    """A list of index rows of ``width`` padded with zero rows to the longest of its batch."""
+    x = rows.withColumn("longest", F.max(F.size(column)).over(Window.partitionBy("batch_id")))
+    zero = F.array_repeat(F.lit(0), width)
+    return x.withColumn(column, F.concat(column, F.array_repeat(zero, (F.col("longest") - F.size(column)).cast("int"))))
+
+
+def typed(rows: DataFrame, whole: set[str], floats: set[str], plain: set[str]) -> DataFrame:
+    """The named columns only, as 64-bit integers, 32-bit floats, or as they are; others aren't read."""
+    kinds = {**{c: "long" for c in whole}, **{c: "float" for c in floats}}
+    return rows.select(*[F.col(c).cast(kinds[c]) if c in kinds else F.col(c) for c in rows.columns if c in kinds or c in plain])

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from molquarry.session import materialise
-
 UNREACHABLE = 510
 
 
@@ -15,43 +17,129 @@ def symmetrize(edges: DataFrame) -> DataFrame:
     return edges.select("mol_id", "a", "b").unionByName(edges.select("mol_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
 
 
-def hop_distances(atoms: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
+def _whole(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(mol_id, atoms, ends): each molecule as one row; one shuffle by molecule."""
+    bonds = edges.filter("a <> b").groupBy("mol_id").agg(F.collect_list(F.struct(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))).alias("ends"))
+    return atoms.groupBy("mol_id").agg(F.sort_array(F.collect_set(F.col("atom").cast("long"))).alias("atoms")).join(bonds, "mol_id", "left").select("mol_id", "atoms", F.col("ends.a").alias("a"), F.col("ends.b").alias("b"))
+
+
+class _Paths:
+    """Shortest paths of a batch of molecules, all searched breadth first at once on flat arrays.
+
+    A pair of atoms (i, j) of molecule m has the place base[m] + i * size[m] + j; ``hops`` is -1 where
+    none leads there, ``via`` the smallest predecessor of j.
+    """
+
+    def __init__(self, pdf: pd.DataFrame):
+        self.size = np.array([len(x) for x in pdf["atoms"]], np.int64)
+        first = np.concatenate([[0], np.cumsum(self.size)])
+        self.base = np.concatenate([[0], np.cumsum(self.size**2)])
+        self.label = np.concatenate([np.asarray(x, np.int64) for x in pdf["atoms"]]) if len(pdf) else np.zeros(0, np.int64)
+        mol = np.repeat(np.arange(len(pdf)), self.size)
+        self.local = np.arange(len(self.label)) - first[mol]
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for m, (a, b) in enumerate(zip(pdf["a"], pdf["b"])):
+            if a is not None and len(a):
+                own, a, b = self.label[first[m] : first[m + 1]], np.asarray(a, np.int64), np.asarray(b, np.int64)
+                x, y = np.searchsorted(own, a), np.searchsorted(own, b)
+                known = (x < len(own)) & (y < len(own))
+                known[known] = (own[x[known]] == a[known]) & (own[y[known]] == b[known])
+                src += [first[m] + x[known], first[m] + y[known]]
+                dst += [first[m] + y[known], first[m] + x[known]]
+        src, dst = np.concatenate(src), np.concatenate(dst)
+        order = np.argsort(src, kind="stable")
+        src, dst = src[order], dst[order]
+        start = np.searchsorted(src, np.arange(len(self.label) + 1))
+        self.hops, self.via = np.full(self.base[-1], -1, np.int64), np.full(self.base[-1], np.iinfo(np.int64).max)
+        at = np.arange(len(self.label))
+        pair = self.base[mol] + self.local * self.size[mol] + self.local
+        self.hops[pair] = 0
+        level = 0
+        while len(pair):
+            level += 1
+            n = start[at + 1] - start[at]
+            k = np.repeat(start[at], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            before, after = np.repeat(at, n), dst[k]
+            reached = np.repeat(pair, n) - self.local[before] + self.local[after]
+            fresh = self.hops[reached] < 0
+            before, after, reached = before[fresh], after[fresh], reached[fresh]
+            np.minimum.at(self.via, reached, self.label[before])
+            pair, once = np.unique(reached, return_index=True)
+            at = after[once]
+            self.hops[pair] = level
+
+    def frame(self) -> pd.DataFrame:
+        mol = np.repeat(np.arange(len(self.size)), self.size**2)
+        first = np.concatenate([[0], np.cumsum(self.size)])[mol]
+        i, j = np.divmod(np.arange(len(mol)) - self.base[mol], self.size[mol])
+        return pd.DataFrame({"mol": mol, "i": self.label[first + i], "j": self.label[first + j], "hops": self.hops, "via": self.via})
+
+
+#: Molecules whose pairs are searched together.
+_TOGETHER = 2_000
+
+
+def _in_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for at in range(0, len(pdf), _TOGETHER):
+            yield pdf.iloc[at : at + _TOGETHER].reset_index(drop=True)
+
+
+def hop_distances(atoms: DataFrame, edges: DataFrame) -> DataFrame:
     """(mol_id, i, j, hops, via): shortest paths of all atom pairs; ``via`` is the smallest predecessor of j.
 
-    Frontier joins keyed by molecule, one level at a time, until no pair is new; at most ``most`` levels.
-    Pairs not reached have hops = 510 and a null ``via``; i = j has 0. ``via`` gives every path back, also
-    one through atom 0.
+    One shuffle by molecule, then breadth-first search over whole batches of molecules until no pair is
+    new, however long the paths. Pairs not reached have hops = 510 and a null ``via``; i = j has 0. Bonds to
+    atoms that aren't listed don't count. Rows with a null mol_id or atom aren't read.
     """
-    adj = symmetrize(edges).filter("a <> b")
-    seen = atoms.select("mol_id", F.col("atom").alias("i"), F.col("atom").alias("j"), F.lit(0).alias("hops"), F.lit(None).cast(dict(edges.dtypes)["a"]).alias("via"))
-    front = seen
-    for level in range(1, most + 1):
-        step = front.select("mol_id", "i", F.col("j").alias("a")).join(adj, ["mol_id", "a"]).groupBy("mol_id", "i", F.col("b").alias("j")).agg(F.min("a").alias("via"))
-        fresh = step.join(seen.select("mol_id", "i", "j"), ["mol_id", "i", "j"], "left_anti").select("mol_id", "i", "j", F.lit(level).alias("hops"), "via")
-        front = materialise(fresh, "hops")
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
-    other = atoms.select("mol_id", F.col("atom").alias("i")).join(atoms.select("mol_id", F.col("atom").alias("j")), "mol_id")
-    return other.join(seen, ["mol_id", "i", "j"], "left").select("mol_id", "i", "j", F.coalesce("hops", F.lit(UNREACHABLE)).alias("hops"), "via")
+    kinds, atom = dict(atoms.dtypes), dict(edges.dtypes)["a"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _in_batches(batches):
+            x = _Paths(pdf).frame()
+            none = x["hops"] <= 0
+            out = pd.DataFrame({"mol_id": pdf["mol_id"].to_numpy()[x["mol"]], "i": x["i"], "j": x["j"], "hops": x["hops"].where(x["hops"] >= 0, UNREACHABLE)})
+            out["via"] = x["via"].where(~none, 0).astype("Int64").mask(none)
+            yield out
+
+    whole = _whole(atoms.filter("mol_id is not null and atom is not null"), edges)
+    return whole.mapInPandas(run, f"mol_id {kinds['mol_id']}, i {kinds['atom']}, j {kinds['atom']}, hops int, via {atom}")
 
 
 def capped(hops: DataFrame, up: int = 20) -> DataFrame:
     return hops.withColumn("hops", F.least("hops", F.lit(up)))
 
 
-def path_edges(hops: DataFrame, edges: DataFrame, most: int = 20) -> DataFrame:
-    """(mol_id, i, j, step, a, b): the bonds along each shortest path, from its end back, step 0 first."""
-    back = hops.filter((F.col("hops") > 0) & (F.col("hops") <= most)).select("mol_id", "i", "j", "hops", "via")
-    prior = back.select("mol_id", "i", F.col("j").alias("at"), F.col("via").alias("next"))
-    walk = back.select("mol_id", "i", "j", F.lit(0).alias("step"), F.col("via").alias("a"), F.col("j").alias("b"))
-    out = walk
-    for k in range(1, most):
-        walk = materialise(walk.join(prior, (walk["mol_id"] == prior["mol_id"]) & (walk["i"] == prior["i"]) & (walk["a"] == prior["at"])).select(walk["mol_id"], walk["i"], "j", F.lit(k).alias("step"), F.col("next").alias("a"), F.col("at").alias("b")), "paths")
-        if walk.isEmpty():
-            break
-        out = out.unionByName(walk)
-    return out
+def path_edges(atoms: DataFrame, edges: DataFrame) -> DataFrame:
+    """(mol_id, i, j, step, a, b): the bonds along each shortest path, from its end back, step 0 first.
+
+    Of paths of equal length the one through the smallest predecessors. Paths of any length come out whole.
+    """
+    kinds, atom = dict(atoms.dtypes), dict(edges.dtypes)["a"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in _in_batches(batches):
+            p = _Paths(pdf)
+            x = p.frame()
+            first = np.concatenate([[0], np.cumsum(p.size)])
+            place = np.flatnonzero(x["hops"].to_numpy() > 0)
+            mol, i, j = (x[c].to_numpy()[place] for c in ("mol", "i", "j"))
+            row = (place - p.base[mol]) // p.size[mol]
+            end, step = j.copy(), 0
+            local_of = {(m, a): k for m in range(len(p.size)) for k, a in enumerate(p.label[first[m] : first[m + 1]].tolist())}
+            at = place
+            live = np.arange(len(place))
+            while len(live):
+                prior = p.via[at[live]]
+                yield pd.DataFrame({"mol_id": pdf["mol_id"].to_numpy()[mol[live]], "i": i[live], "j": j[live], "step": step, "a": prior, "b": end[live]})
+                back = np.array([local_of[m, a] for m, a in zip(mol[live].tolist(), prior.tolist())], np.int64)
+                at[live] = p.base[mol[live]] + row[live] * p.size[mol[live]] + back
+                end[live] = prior
+                live = live[p.hops[at[live]] > 0]
+                step += 1
+
+    whole = _whole(atoms.filter("mol_id is not null and atom is not null"), edges)
+    return whole.mapInPandas(run, f"mol_id {kinds['mol_id']}, i {kinds['atom']}, j {kinds['atom']}, step int, a {atom}, b {atom}")
 
 
 def angle_triples(edges: DataFrame) -> DataFrame:
@@ -139,14 +227,20 @@ def dominant_groups(atoms: DataFrame, matches: DataFrame, groups: int) -> DataFr
     return atoms.select("mol_id", "atom").join(got, ["mol_id", "atom"], "left").select("mol_id", "atom", F.coalesce("fg_id", F.lit(0)).alias("fg_id"), F.coalesce("fg_index", F.lit(0)).alias("fg_index"))
 
 
-def bond_group_scores(edges: DataFrame, matches: DataFrame, most: int = 3) -> DataFrame:
-    """(mol_id, edge_id, score, same): 0 no group, 1 one side, 2 + shared groups (capped); same = 0 if shared."""
+def bond_group_scores(edges: DataFrame, matches: DataFrame, dominant: DataFrame, most: int = 3) -> DataFrame:
+    """(mol_id, edge_id, score, same): 0 no group, 1 one side, 2 + shared groups (capped).
+
+    ``same`` is 0 if the dominant groups of both ends (``dominant`` as from dominant_groups()) have one index,
+    as they also have where neither end is in a group, else 1.
+    """
     ids = matches.select("mol_id", "fg_id", F.explode("atoms").alias("atom")).groupBy("mol_id", "atom").agg(F.collect_set("fg_id").alias("g"))
+    of = dominant.select("mol_id", "atom", "fg_index").join(ids, ["mol_id", "atom"], "left")
     e = edges.select("mol_id", "edge_id", "a", "b")
-    e = e.join(ids.select("mol_id", F.col("atom").alias("a"), F.col("g").alias("ga")), ["mol_id", "a"], "left").join(ids.select("mol_id", F.col("atom").alias("b"), F.col("g").alias("gb")), ["mol_id", "b"], "left")
+    for end in ("a", "b"):
+        e = e.join(of.select("mol_id", F.col("atom").alias(end), F.col("g").alias("g" + end), F.col("fg_index").alias("x" + end)), ["mol_id", end], "left")
     shared = F.size(F.array_intersect("ga", "gb"))
     score = F.when(F.col("ga").isNull() & F.col("gb").isNull(), 0).when(F.col("ga").isNull() | F.col("gb").isNull(), 1).otherwise(2 + F.least(shared, F.lit(most)))
-    return e.select("mol_id", "edge_id", score.alias("score"), F.when(F.coalesce(shared, F.lit(0)) > 0, 0).otherwise(1).alias("same"))
+    return e.select("mol_id", "edge_id", score.alias("score"), F.when(F.coalesce("xa", F.lit(0)) == F.coalesce("xb", F.lit(0)), 0).otherwise(1).alias("same"))
 
 
 def ring_sizes(atom_rings: DataFrame) -> DataFrame:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from molquarry.operators.skew import running_sum
+
 
 def class_histogram(rows: DataFrame, label: str) -> DataFrame:
     """(label, n, percent)."""
@@ -30,10 +32,9 @@ def confusion(rows: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def average_ranks(rows: DataFrame, value: str, name: str) -> DataFrame:
-    """Adds the average rank (ties share it). Ranks are offsets of distinct values: the window is over those."""
+    """Adds the average rank (ties share it): running sums over distinct values, in ranges of them."""
     per = rows.groupBy(F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy("__v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = per.withColumn(name, F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / F.lit(2.0)).drop("__n")
+    ranked = running_sum(per, [F.col("__v")], F.col("__n"), "__b").withColumn(name, F.col("__b") + (F.col("__n") + 1) / F.lit(2.0)).drop("__n", "__b")
     return rows.join(ranked, F.col(value).eqNullSafe(F.col("__v"))).drop("__v")
 
 

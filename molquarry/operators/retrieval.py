@@ -100,22 +100,30 @@ def weighted_targets(weights: DataFrame, library: DataFrame) -> DataFrame:
     """(vec_id, modality, center_modality, target): weighted sum of gathered centers, scaled to length 1."""
     lib = library.select(F.col("modality").alias("center_modality"), "center_id", "center")
     got = weights.join(lib, ["center_modality", "center_id"])
-    long = got.select("vec_id", "modality", "center_modality", "weight", F.posexplode("center").alias("dim", "x"))
-    dims = long.groupBy("vec_id", "modality", "center_modality", "dim").agg(F.sum(F.col("weight") * F.col("x")).alias("v"))
-    rows = dims.groupBy("vec_id", "modality", "center_modality").agg(F.array_sort(F.collect_list(F.struct("dim", "v"))).alias("d"))
-    return rows.select("vec_id", "modality", "center_modality", vec.l2_normalize(F.transform("d", lambda x: x["v"])).alias("target"))
+    # the few neighbours of a vector as one array of weighted centers, added up in place
+    near = got.groupBy("vec_id", "modality", "center_modality").agg(F.collect_list(F.transform("center", lambda x: x * F.col("weight"))).alias("ws"))
+    total = F.aggregate(F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))), F.element_at("ws", 1), lambda s, w: F.zip_with(s, w, lambda a, b: a + b))
+    return near.select("vec_id", "modality", "center_modality", vec.l2_normalize(total).alias("target"))
 
 
 def hard_negatives(vectors: DataFrame, library: DataFrame, hard: int, random: int, seed: int = 0) -> DataFrame:
     """(vec_id, center_modality, center_id, kind): the ``hard`` most similar centers of the other modalities,
-    and ``random`` of the remaining ones by hashed order (md5 of vec_id, center_id and seed)."""
-    n = library.count()
-    all_hits = topk_centers(vectors, library, max(n, 1), other_modality=True)
-    top = all_hits.filter(F.col("rank") <= hard).select("vec_id", "center_modality", "center_id", F.lit("hard").alias("kind"))
-    rest = all_hits.filter(F.col("rank") > hard).withColumn("h", F.md5(F.concat_ws(":", "vec_id", "center_modality", "center_id", F.lit(seed))))
-    w = Window.partitionBy("vec_id", "center_modality").orderBy("h")
-    some = rest.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= random).select("vec_id", "center_modality", "center_id", F.lit("random").alias("kind"))
-    return top.unionByName(some)
+    and ``random`` of the remaining ones.
+
+    The random ones are those that follow a hashed place (md5 of vec_id, center_modality and seed) in the
+    circle of a modality's centers by id, so only hard + random centers a vector are looked at.
+    """
+    top = topk_centers(vectors, library, hard, other_modality=True).select("vec_id", "center_modality", "center_id")
+    lib = library.select(F.col("modality").alias("center_modality"), "center_id")
+    sizes = lib.groupBy("center_modality").agg(F.count(F.lit(1)).alias("size"))
+    placed = lib.withColumn("place", F.row_number().over(Window.partitionBy("center_modality").orderBy("center_id")) - 1)
+    h = F.conv(F.substring(F.md5(F.concat_ws(":", "vec_id", "center_modality", F.lit(seed))), 1, 8), 16, 10).cast("long")
+    asked = vectors.select("vec_id", "modality").join(F.broadcast(sizes), F.col("modality") != F.col("center_modality"))
+    asked = asked.withColumn("turn", F.explode(F.sequence(F.lit(0), F.least(F.col("size"), F.lit(hard + random)) - 1)))
+    asked = asked.withColumn("place", ((h + F.col("turn")) % F.col("size")).cast("int")).join(placed, ["center_modality", "place"])
+    rest = asked.select("vec_id", "center_modality", "center_id", "turn").join(top, ["vec_id", "center_modality", "center_id"], "left_anti")
+    some = rest.withColumn("r", F.row_number().over(Window.partitionBy("vec_id", "center_modality").orderBy("turn"))).filter(F.col("r") <= random)
+    return top.withColumn("kind", F.lit("hard")).unionByName(some.select("vec_id", "center_modality", "center_id", F.lit("random").alias("kind")))
 
 
 def batch_pairs(vectors: DataFrame, size: int, batch: str = "batch_id") -> DataFrame:
@@ -131,6 +139,48 @@ def quality(sim: F.Column) -> F.Column:
     return F.when((sim > 0.3) & (sim < 0.95), (sim - 0.3) / F.lit(0.65 + 1e-8)).otherwise(F.lit(0.0))
 
 
+def with_separation(pairs: DataFrame, negatives: DataFrame) -> DataFrame:
+    """``pairs`` (..., sim, score) with score = .7 * score + .3 * sigmoid(5 * (mean positive - mean negative similarity)).
+
+    ``negatives`` has (sim); without any the scores stay.
+    """
+    means = pairs.agg(F.avg("sim").alias("__p")).crossJoin(negatives.agg(F.avg("sim").alias("__n")))
+    bonus = 1 / (1 + F.exp(-5 * (F.col("__p") - F.col("__n"))))
+    scored = F.when(F.col("__n").isNull(), F.col("score")).otherwise(0.7 * F.col("score") + 0.3 * bonus)
+    return pairs.crossJoin(F.broadcast(means)).withColumn("score", scored).drop("__p", "__n")
+
+
+def weighted_means(vectors: DataFrame, center: str, weight: str) -> DataFrame:
+    """(center_id, center): sum of weight * vector over the sum of weights, where that is above 0."""
+    sums = array_sums(vectors.select(F.col(center).alias("center_id"), F.transform("e", lambda x: x * F.col(weight)).alias("e"), F.col(weight).alias("w")), "center_id", "w")
+    return sums.filter("w > 0").select("center_id", F.transform("e", lambda x: x / F.col("w")).alias("center"))
+
+
+def array_sums(rows: DataFrame, key: str, weight: str) -> DataFrame:
+    """(key, e, weight): elementwise sums of arrays ``e``, and of ``weight``, by key.
+
+    Summed in each Arrow batch first; only these partial sums are parted by place for the shuffle.
+    """
+    import numpy as np
+    import pandas as pd
+
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                codes, names = pd.factorize(pdf[key])
+                x = np.stack(pdf["e"].to_numpy())
+                total = np.zeros((len(names), x.shape[1]))
+                np.add.at(total, codes, x)
+                yield pd.DataFrame({key: names, "e": list(total), weight: np.bincount(codes, pdf[weight], len(names))})
+
+    part = rows.select(key, "e", F.col(weight).cast("double").alias(weight)).filter(F.col(key).isNotNull()).mapInPandas(run, f"{key} {kind}, e array<double>, {weight} double")
+    dims = part.select(key, weight, F.posexplode("e").alias("dim", "x")).groupBy(key, "dim").agg(F.sum("x").alias("x"), F.sum(weight).alias(weight))
+    whole = dims.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("dim", "x"))).alias("d"), F.max(weight).alias(weight))
+    return whole.select(key, F.transform("d", lambda d: d["x"]).alias("e"), weight)
+
+
 def pseudo_pairs(vectors: DataFrame, library: DataFrame, k: int, temperature: float) -> DataFrame:
     """(vec_id, modality, center_modality, sim, score) of positive pairs (source, weighted target)."""
     targets = weighted_targets(softmax_weights(topk_centers(vectors, library, k, other_modality=True), temperature), library)

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Groups that the sequential fold takes into one array.
-MOST_GROUPS = 5_000_000
+from molquarry.operators.skew import running_sum
 
 
 def group_sizes(rows: DataFrame, row_id: str, group: str) -> DataFrame:
@@ -20,9 +19,8 @@ def prefix_split(groups: DataFrame, train: float = 0.8, valid: float = 0.1) -> D
 
     In closed form: a group's split follows from the rows before it, a running sum over groups.
     """
-    order = Window.orderBy(F.desc("n"), "first").rowsBetween(Window.unboundedPreceding, -1)
     total = groups.agg(F.sum("n").alias("total"))
-    g = groups.withColumn("before", F.coalesce(F.sum("n").over(order), F.lit(0))).crossJoin(F.broadcast(total))
+    g = running_sum(groups, [F.desc("n"), F.col("first")], F.col("n"), "before").crossJoin(F.broadcast(total))
     most_train, most_valid = F.floor(F.col("total") * F.lit(train)), F.floor(F.col("total") * F.lit(valid))
     g = g.withColumn("in_train", F.col("before") < most_train)
     size = g.agg(F.coalesce(F.sum(F.when(F.col("in_train"), F.col("n"))), F.lit(0)).alias("train_rows"))
@@ -31,52 +29,60 @@ def prefix_split(groups: DataFrame, train: float = 0.8, valid: float = 0.1) -> D
     return g.select("grp", "n", "first", split.alias("split"))
 
 
-def _fold(groups: DataFrame, order: list[Column]) -> DataFrame:
-    """(gs, total): one row with all groups sorted by ``order``, for a sequential assignment."""
-    if groups.count() > MOST_GROUPS:
-        raise ValueError("too many groups for a sequential fold; use llm.group_splits or prefix_split")
-    total = groups.agg(F.sum("n").alias("total"))
-    packed = groups.select(F.struct(*order, F.col("grp"), F.col("n"), F.col("first")).alias("g")).agg(F.array_sort(F.collect_list("g")).alias("gs")).crossJoin(total)
-    return packed
-
-
 def first_fit_split(groups: DataFrame, train: float = 0.8, valid: float = 0.1) -> DataFrame:
     """(grp, n, split): by (size, first row) descending, into train if it fits, else valid, else test.
 
-    Later small groups may fill gaps, so this is a fold over groups (not rows), within one task.
+    Groups of one size stand together, and where one of them doesn't fit no later one of its size does. So
+    the fold is over sizes (fewer than sqrt(2 * rows) of them), and a group's split follows from its place.
     """
-    packed = _fold(groups, [(-F.col("n")).alias("k1"), (-F.col("first")).alias("k2")])
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<string>").alias("out"))
-    cut_a, cut_b = F.col("total") * F.lit(train), F.col("total") * F.lit(train + valid)
-
-    def step(s, g):
-        over_train = s["a"] + g["n"] > cut_a
-        over_valid = s["a"] + s["b"] + g["n"] > cut_b
-        where = F.when(~over_train, F.lit("train")).when(~over_valid, F.lit("valid")).otherwise(F.lit("test"))
-        return F.struct(
-            F.when(where == "train", s["a"] + g["n"]).otherwise(s["a"]).alias("a"), F.when(where == "valid", s["b"] + g["n"]).otherwise(s["b"]).alias("b"),
-            F.concat(s["out"], F.array(where)).alias("out"),
-        )
-
-    done = packed.withColumn("s", F.aggregate("gs", start, step))
-    return done.select(F.explode(F.arrays_zip("gs", F.col("s.out").alias("where"))).alias("x")).select("x.gs.grp", "x.gs.n", "x.gs.first", F.col("x.where").alias("split"))
+    sizes = groups.groupBy("n").agg(F.count(F.lit(1)).alias("c")).orderBy(F.desc("n")).collect()
+    total = sum(r["n"] * r["c"] for r in sizes)
+    cut_a, cut_b = total * train, total * (train + valid)
+    a = b = place = 0
+    runs: list[tuple[int, int, int]] = []
+    for r in sizes:
+        n, c = r["n"], r["c"]
+        in_train = min(c, max(int((cut_a - a) // n), 0))
+        a += n * in_train
+        in_valid = min(c - in_train, max(int((cut_b - a - b) // n), 0))
+        b += n * in_valid
+        runs.append((n, place + in_train, place + in_train + in_valid))
+        place += c
+    ends = groups.sparkSession.createDataFrame(runs, "n long, train_end long, valid_end long")
+    placed = running_sum(groups, [F.desc("n"), F.desc("first")], F.lit(1), "place").join(ends, "n")
+    return placed.select("grp", "n", "first", F.when(F.col("place") < F.col("train_end"), "train").when(F.col("place") < F.col("valid_end"), "valid").otherwise("test").alias("split"))
 
 
 def random_group_split(groups: DataFrame, seed: int, valid: float = 0.1, test: float = 0.1) -> DataFrame:
-    """(grp, n, split): groups in hashed order fill valid up to floor(valid * N), then test, else train."""
-    packed = _fold(groups, [F.md5(F.concat_ws(":", "grp", F.lit(seed))).alias("k1")])
-    start = F.struct(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.array().cast("array<string>").alias("out"))
-    cut_a, cut_b = F.floor(F.col("total") * F.lit(valid)), F.floor(F.col("total") * F.lit(test))
+    """(grp, n, split): groups in hashed order fill valid up to floor(valid * N), then test, else train.
 
-    def step(s, g):
-        where = F.when(s["a"] + g["n"] <= cut_a, F.lit("valid")).when(s["b"] + g["n"] <= cut_b, F.lit("test")).otherwise(F.lit("train"))
-        return F.struct(
-            F.when(where == "valid", s["a"] + g["n"]).otherwise(s["a"]).alias("a"), F.when(where == "test", s["b"] + g["n"]).otherwise(s["b"]).alias("b"),
-            F.concat(s["out"], F.array(where)).alias("out"),
-        )
-
-    done = packed.withColumn("s", F.aggregate("gs", start, step))
-    return done.select(F.explode(F.arrays_zip("gs", F.col("s.out").alias("where"))).alias("x")).select("x.gs.grp", "x.gs.n", "x.gs.first", F.col("x.where").alias("split"))
+    Each decision needs all before it, so one task reads the sorted groups once, without holding them.
+    """
+    total = groups.agg(F.sum("n")).first()[0] or 0
+    cut_a, cut_b = int(total * valid), int(total * test)
+
+    def run(batches):
+        a = b = 0
+        for pdf in batches:
+            split = []
+            for n in pdf["n"].tolist():
+                where = "valid" if a + n <= cut_a else "test" if b + n <= cut_b else "train"
+                a, b = a + n * (where == "valid"), b + n * (where == "test")
+                split.append(where)
+            yield pdf.assign(split=split)
+
+    order = F.md5(F.concat_ws(":", "grp", F.lit(seed)))
+    ordered = groups.select("grp", "n", "first", order.alias("h")).repartition(1).sortWithinPartitions("h", "grp").drop("h")
+    return ordered.mapInPandas(run, f"grp string, n long, first {dict(groups.dtypes)['first']}, split string")
+
+
+def prefix_split_or_stratified(rows: DataFrame, row_id: str, group: str, label: str, seed: int) -> DataFrame:
+    """(id, split): the prefix split, or, where a split in use has one class only, the stratified random split."""
+    groups = group_sizes(rows, row_id, group)
+    key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("row_"), F.col(row_id)))
+    first = rows.select(F.col(row_id).alias("id"), key.alias("grp"), F.col(label).alias("label")).join(prefix_split(groups).select("grp", "split"), "grp")
+    poor = first.groupBy("split").agg(F.count_distinct("label").alias("k")).filter("k < 2").limit(1).count()
+    return random_split(rows, row_id, seed, label).select("id", "split") if poor else first.select("id", "split")
 
 
 def random_split(rows: DataFrame, row_id: str, seed: int, stratum: str | None = None, train: float = 0.8, valid: float = 0.1) -> DataFrame:
@@ -121,6 +127,33 @@ def early_stopping(scores: DataFrame, order: str, score: str, patience: int, min
     return arr.select(F.explode(F.aggregate("xs", start, step)["out"]).alias("r")).select("r.*")
 
 
+def plateau_rates(scores: DataFrame, order: str, score: str, rate: float, factor: float = 0.5, patience: int = 5, mode: str = "min", threshold: float = 1e-4) -> DataFrame:
+    """(epoch, rate): multiplied by ``factor`` after more than ``patience`` epochs without a better score.
+
+    Better is below best * (1 - threshold), or above best * (1 + threshold) with mode max. One row an epoch,
+    so this is a fold over few rows.
+    """
+    sign = -1.0 if mode == "min" else 1.0
+    arr = scores.agg(F.array_sort(F.collect_list(F.struct(F.col(order).cast("bigint").alias("epoch"), F.col(score).cast("double").alias("score")))).alias("xs"))
+    start = F.struct(F.lit(None).cast("double").alias("best"), F.lit(0).alias("bad"), F.lit(rate).alias("rate"), F.array().cast("array<struct<epoch:bigint,rate:double>>").alias("out"))
+
+    def step(s, x):
+        better = s["best"].isNull() | (F.lit(sign) * x["score"] > F.lit(sign) * s["best"] * F.lit(1 + sign * threshold))
+        bad = F.when(better, F.lit(0)).otherwise(s["bad"] + 1)
+        drop = bad > patience
+        now = F.when(drop, s["rate"] * factor).otherwise(s["rate"])
+        return F.struct(F.when(better, x["score"]).otherwise(s["best"]).alias("best"), F.when(drop, F.lit(0)).otherwise(bad).alias("bad"), now.alias("rate"), F.concat(s["out"], F.array(F.struct(x["epoch"].alias("epoch"), now.alias("rate")))).alias("out"))
+
+    return arr.select(F.explode(F.aggregate("xs", start, step)["out"]).alias("r")).select("r.*")
+
+
+def checkpoint_marks(batches: DataFrame, order: str, size: str, every: int) -> DataFrame:
+    """(batch, total, checkpoint): running totals of samples; a checkpoint where a total is a multiple of ``every``."""
+    x = batches.groupBy(F.col(order).alias("batch")).agg(F.sum(size).alias("n"))
+    x = running_sum(x, [F.col("batch")], F.col("n"), "before").withColumn("total", F.col("before") + F.col("n"))
+    return x.select("batch", "total", ((F.col("total") > 0) & (F.col("total") % F.lit(max(1, every)) == 0)).alias("checkpoint"))
+
+
 def adaptive_temperature(qualities: DataFrame, order: str, quality: str, start_at: float = 0.07) -> DataFrame:
     """(step, temperature): x .99 below quality .5, x 1.01 above .8, kept within [.01, 1]; a fold over batches."""
     arr = qualities.agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), F.col(quality).alias("q")))).alias("xs"))

@@ -55,7 +55,7 @@ def spatial_pos(spark, d):
 
 def path_edges(spark, d):
     """Lengths of the paths put back together equal their hop counts: pairs by length."""
-    p = G.path_edges(G.hop_distances(atoms(spark, d), edges(spark, d)), edges(spark, d))
+    p = G.path_edges(atoms(spark, d), edges(spark, d))
     return p.groupBy("mol_id", "i", "j").agg(F.count(F.lit(1)).alias("length")).groupBy("length").agg(F.count(F.lit(1)).alias("pairs"))
 
 
@@ -102,7 +102,25 @@ def dominant_group(spark, d):
 
 
 def bond_group_score(spark, d):
-    return G.bond_group_scores(edges(spark, d), matches(spark, d))
+    m = matches(spark, d)
+    return G.bond_group_scores(edges(spark, d), m, G.dominant_groups(atoms(spark, d), G.drop_contained(m), GROUPS))
+
+
+def _chains(spark, d):
+    """Graphs of 32 atoms of the parts: 1 .. 30 a chain, 31 and 32 bonded apart from it; (atoms, edges)."""
+    p = table(spark, d, "part").filter("p_partkey % 10 = 0").select(F.col("p_partkey").alias("mol_id"))
+    a = p.select("mol_id", F.explode(F.sequence(F.lit(1), F.lit(32))).alias("atom"))
+    return a, a.filter("atom not in (1, 31)").select("mol_id", F.col("atom").alias("edge_id"), (F.col("atom") - 1).alias("a"), F.col("atom").alias("b"))
+
+
+def hop_distance_long(spark, d):
+    """Hop counts in graphs of two parts with paths of up to 29 bonds."""
+    return G.hop_distances(*_chains(spark, d)).select("mol_id", "i", "j", "hops", "via")
+
+
+def path_edges_long(spark, d):
+    """Every bond of every path of the same graphs."""
+    return G.path_edges(*_chains(spark, d)).groupBy("mol_id", "i", "j").agg(F.count(F.lit(1)).alias("length"), F.sum(F.col("a") * 100 + F.col("b")).alias("code"), F.max("step").alias("last"))
 
 
 def group_texts(spark, d):
@@ -174,7 +192,9 @@ SQL = {
     "bond_types": f"WITH {A}, {E_} SELECT least(p.l_returnflag, q.l_returnflag) || ['-', '=', '#', '~=', ' <DATIVE> '][edge_id % 5 + 1] || greatest(p.l_returnflag, q.l_returnflag) AS kind, count(*) AS n FROM ed JOIN ats p ON p.mol_id = ed.mol_id AND p.atom = a JOIN ats q ON q.mol_id = ed.mol_id AND q.atom = b GROUP BY 1",
     "group_subset_clean": f"WITH {A}, {FG}, {FC} SELECT mol_id, fg_id, match_no, len(atoms)::INTEGER AS size FROM fc",
     "dominant_group": f"WITH {A}, {FG}, {FC}, lo AS (SELECT mol_id, fg_id, match_no, len(atoms) AS n, unnest(atoms) AS atom FROM fc), b AS (SELECT *, row_number() OVER (PARTITION BY mol_id, atom ORDER BY n DESC, fg_id, match_no) AS r FROM lo) SELECT ats.mol_id, ats.atom, coalesce(fg_id, 0) AS fg_id, coalesce({GROUPS} * (match_no + 1) + fg_id, 0) AS fg_index FROM ats LEFT JOIN b ON b.mol_id = ats.mol_id AND b.atom = ats.atom AND r = 1",
-    "bond_group_score": f"WITH {A}, {E_}, {FG}, ids AS (SELECT mol_id, atom, list(DISTINCT fg_id) AS g FROM (SELECT mol_id, fg_id, unnest(atoms) AS atom FROM fg) GROUP BY ALL) SELECT ed.mol_id, edge_id, CASE WHEN p.g IS NULL AND q.g IS NULL THEN 0 WHEN p.g IS NULL OR q.g IS NULL THEN 1 ELSE 2 + least(len(list_intersect(p.g, q.g)), 3)::INTEGER END AS score, CASE WHEN coalesce(len(list_intersect(p.g, q.g)), 0) > 0 THEN 0 ELSE 1 END AS same FROM ed LEFT JOIN ids p ON p.mol_id = ed.mol_id AND p.atom = a LEFT JOIN ids q ON q.mol_id = ed.mol_id AND q.atom = b",
+    "bond_group_score": f"WITH {A}, {E_}, {FG}, {FC}, lo AS (SELECT mol_id, fg_id, match_no, len(atoms) AS n, unnest(atoms) AS atom FROM fc), dm AS (SELECT mol_id, atom, arg_min({GROUPS} * (match_no + 1) + fg_id, (-n, fg_id, match_no)) AS x FROM lo GROUP BY ALL), ids AS (SELECT mol_id, atom, list(DISTINCT fg_id) AS g FROM (SELECT mol_id, fg_id, unnest(atoms) AS atom FROM fg) GROUP BY ALL) SELECT ed.mol_id, edge_id, CASE WHEN p.g IS NULL AND q.g IS NULL THEN 0 WHEN p.g IS NULL OR q.g IS NULL THEN 1 ELSE 2 + least(len(list_intersect(p.g, q.g)), 3)::INTEGER END AS score, CASE WHEN coalesce(u.x, 0) = coalesce(v.x, 0) THEN 0 ELSE 1 END AS same FROM ed LEFT JOIN ids p ON p.mol_id = ed.mol_id AND p.atom = a LEFT JOIN ids q ON q.mol_id = ed.mol_id AND q.atom = b LEFT JOIN dm u ON u.mol_id = ed.mol_id AND u.atom = a LEFT JOIN dm v ON v.mol_id = ed.mol_id AND v.atom = b",
+    "hop_distance_long": "SELECT p_partkey AS mol_id, i::INTEGER AS i, j::INTEGER AS j, CASE WHEN (i > 30) = (j > 30) THEN abs(i - j) ELSE 510 END::INTEGER AS hops, CASE WHEN (i > 30) = (j > 30) AND i <> j THEN CASE WHEN i < j THEN j - 1 ELSE j + 1 END END::INTEGER AS via FROM part, range(1, 33) t(i), range(1, 33) u(j) WHERE p_partkey % 10 = 0",
+    "path_edges_long": "SELECT p_partkey AS mol_id, i::INTEGER AS i, j::INTEGER AS j, abs(i - j)::BIGINT AS length, (CASE WHEN i < j THEN (SELECT sum(k * 101 + 1) FROM range(1, 33) r(k) WHERE k >= i AND k < j) ELSE (SELECT sum(k * 101 + 100) FROM range(1, 33) r(k) WHERE k >= j AND k < i) END)::BIGINT AS code, (abs(i - j) - 1)::INTEGER AS last FROM part, range(1, 33) t(i), range(1, 33) u(j) WHERE p_partkey % 10 = 0 AND i <> j AND (i > 30) = (j > 30)",
     "group_texts": f"WITH {A}, {FG} SELECT CASE fg_id WHEN 1 THEN 'alcohol' WHEN 2 THEN 'amine' ELSE 'None' END AS text, count(*) AS n FROM fg GROUP BY 1",
     "ring_size_histogram": f"WITH {A}, r AS (SELECT mol_id, atom, atom % 7 + 3 AS s FROM ats WHERE atom % 3 = 0), u AS (SELECT * FROM r UNION ALL SELECT mol_id, atom - 1, s FROM r) SELECT mol_id, atom, " + ", ".join(f"count(*) FILTER (s = {k}) AS s{k}" for k in range(3, 9)) + ", count(*) FILTER (s > 8) AS s9 FROM u GROUP BY ALL",
     "conformer_choice": "WITH m AS (SELECT l_orderkey, quantile_cont(l_extendedprice, 0.5) AS p FROM lineitem GROUP BY 1) SELECT l_orderkey, arg_min(l_partkey, (l_extendedprice, l_partkey, l_suppkey, l_linenumber)) AS least, arg_min(l_partkey, (round(abs(l_extendedprice - p), 4), l_partkey, l_suppkey, l_linenumber)) AS middle FROM lineitem JOIN m USING (l_orderkey) GROUP BY 1",

@@ -11,6 +11,8 @@ from molquarry.streaming import centers as C
 from molquarry.session import table
 
 K, T = 5, 0.07
+#: Least quality of a pair; the tables' vectors have few similar centers.
+LEAST = 0.02
 
 # SQL building blocks
 V = """v AS (SELECT vec_id, label, ['image','text','audio'][vec_id % 3 + 1] AS modality, list_transform(x, lambda y: y / greatest(sqrt(list_dot_product(x, x)), 1e-8)) AS e
@@ -79,7 +81,7 @@ def pair_quality(spark, d):
 
 def pair_filter(spark, d):
     v, c = _vc(spark, d)
-    return R.pseudo_pairs(v, c, K, T).filter("score > 0.7").select("vec_id", "center_modality", F.round("score", 5).alias("score"))
+    return R.pseudo_pairs(v, c, K, T).filter(f"score > {LEAST}").select("vec_id", "center_modality", F.round("score", 5).alias("score"))
 
 
 def pair_stats(spark, d):
@@ -115,12 +117,16 @@ def infonce_loss(spark, d):
 
 
 def infonce_pooled(spark, d):
-    """-log(sum e^pos / (sum e^pos + sum e^neg)) of each batch: positives share the label."""
+    """Mean over positives of -log(e^pos / (sum e^pos + sum e^neg)), pairs of a batch that share the label being positive.
+
+    Batches of odd number are given without their negatives: their loss is the negative mean similarity.
+    """
     v = _v(spark, d).select(F.col("vec_id").alias("i"), "label")
     x = _logits(spark, d).filter("i <> j").join(v, "i").join(v.select(F.col("i").alias("j"), F.col("label").alias("other")), "j")
-    pos = F.sum(F.when(F.col("label") == F.col("other"), F.exp("s")))
-    g = x.groupBy("batch_id").agg(pos.alias("p"), F.sum(F.exp("s")).alias("t"))
-    return g.select("batch_id", F.round(-F.log(F.col("p") / F.col("t")), 6).alias("loss"))
+    pos = F.col("label") == F.col("other")
+    x = x.filter(pos | (F.col("batch_id") % 2 == 0)).withColumn("z", F.col("s") / T)
+    g = x.groupBy("batch_id").agg(F.avg(F.when(pos, F.col("z"))).alias("p"), F.sum(F.exp("z")).alias("t"), F.count_if(~pos).alias("neg"))
+    return g.filter("p is not null").select("batch_id", F.round(F.when(F.col("neg") > 0, F.log("t") - F.col("p")).otherwise(-F.col("p")), 5).alias("loss"))
 
 
 def ntxent_loss(spark, d):
@@ -146,7 +152,7 @@ def neg_mean_sim(spark, d):
 
 
 def three_way_contrastive(spark, d):
-    """Mean over the modality pairs of the InfoNCE loss between triples (vec_id div 3) of one batch."""
+    """Of each batch, the mean over the three modality pairs of the InfoNCE loss between triples (vec_id div 3)."""
     v = _v(spark, d).withColumn("t", F.floor(F.col("vec_id") / 3)).withColumn("batch_id", F.floor(F.col("t") / F.lit(BATCH)))
     out = None
     for key, (a, b) in {"12": ("image", "text"), "13": ("image", "audio"), "23": ("text", "audio")}.items():
@@ -155,7 +161,8 @@ def three_way_contrastive(spark, d):
         x = left.join(right, "batch_id").select("batch_id", "i", (vec.dot(F.col("a"), F.col("b")) / T).alias("z"), (F.col("i") == F.col("j")).alias("diag"))
         one = R.info_nce(x, "batch_id", "i", "z", "diag").select(F.lit(key).alias("pair_key"), "batch_id", "loss")
         out = one if out is None else out.unionByName(one)
-    return out.groupBy("pair_key").agg(F.round(F.avg("loss"), 5).alias("loss"))
+    per = out.groupBy("batch_id").agg(F.sum("loss").alias("s"))
+    return per.select("batch_id", F.round(F.col("s") / 3, 5).alias("loss"))
 
 
 def alignment_loss(spark, d):
@@ -224,17 +231,17 @@ SQL = {
     "softmax_weights": f"WITH {BASE}, {HITS}, {W} SELECT vec_id, center_modality, center_id, rank, round(weight, 6) AS weight FROM w",
     "weighted_targets": f"WITH {BASE}, {HITS}, {W}, {TG} SELECT vec_id, center_modality, generate_subscripts(target, 1) - 1 AS dim, round(unnest(target), 5) AS x FROM t",
     "pair_quality": f"WITH {BASE}, {HITS}, {W}, {TG}, {Q} SELECT vec_id, modality, center_modality, round(sim, 5) AS sim, round(score, 5) AS score FROM q",
-    "pair_filter": f"WITH {BASE}, {HITS}, {W}, {TG}, {Q} SELECT vec_id, center_modality, round(score, 5) AS score FROM q WHERE score > 0.7",
+    "pair_filter": f"WITH {BASE}, {HITS}, {W}, {TG}, {Q} SELECT vec_id, center_modality, round(score, 5) AS score FROM q WHERE score > {LEAST}",
     "pair_stats": f"WITH {BASE}, {HITS}, {W}, {TG}, {Q} SELECT center_modality, count(*) FILTER (score > 0.7) AS num_pairs, round(avg(score), 5) AS avg_quality, round(avg(CASE WHEN score > 0.7 THEN 1.0::DOUBLE ELSE 0 END), 6) AS kept_ratio FROM q GROUP BY 1",
-    "hard_negatives": f"WITH {BASE}, r AS (SELECT vec_id, c.modality AS center_modality, center_id, row_number() OVER (PARTITION BY vec_id, c.modality ORDER BY list_dot_product(e, center) DESC, center_id) AS k FROM v JOIN c ON c.modality <> v.modality) SELECT vec_id, center_modality, center_id, 'hard' AS kind FROM r WHERE k <= 3 UNION ALL SELECT vec_id, center_modality, center_id, 'random' FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, center_modality ORDER BY md5(concat_ws(':', vec_id, center_modality, center_id, 0))) AS n FROM r WHERE k > 3) WHERE n <= 2",
+    "hard_negatives": f"WITH {BASE}, r AS (SELECT vec_id, c.modality AS center_modality, center_id, row_number() OVER (PARTITION BY vec_id, c.modality ORDER BY list_dot_product(e, center) DESC, center_id) AS k, row_number() OVER (PARTITION BY vec_id, c.modality ORDER BY center_id) - 1 AS place, count(*) OVER (PARTITION BY vec_id, c.modality) AS size FROM v JOIN c ON c.modality <> v.modality), t AS (SELECT *, (place - ('0x' || substr(md5(concat_ws(':', vec_id, center_modality, 0)), 1, 8))::BIGINT % size + size) % size AS turn FROM r) SELECT vec_id, center_modality, center_id, 'hard' AS kind FROM r WHERE k <= 3 UNION ALL SELECT vec_id, center_modality, center_id, 'random' FROM (SELECT *, row_number() OVER (PARTITION BY vec_id, center_modality ORDER BY turn) AS n FROM t WHERE k > 3) WHERE n <= 2",
     "inbatch_negatives": f"SELECT a.vec_id // {BATCH} AS batch_id, a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id // {BATCH} = b.vec_id // {BATCH} AND a.vec_id <> b.vec_id",
     "sim_metrics": f"WITH {V} SELECT a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.e, b.e) / 0.5, 6) AS cosine, round(-list_distance(a.e, b.e) / 0.5, 6) AS euclidean, round(list_dot_product(a.e, b.e) / 0.5, 6) AS dot FROM v a JOIN v b ON a.vec_id // {BATCH} = b.vec_id // {BATCH} AND a.vec_id <> b.vec_id",
     "infonce_loss": f"WITH {V}, {BP}, x AS (SELECT batch_id, i, s / {T} AS z, i = j AS diag FROM bp) {NCE}",
-    "infonce_pooled": f"WITH {V}, {BP} SELECT batch_id, round(-ln(sum(CASE WHEN a.label = b.label THEN exp(s) END) / sum(exp(s))), 6) AS loss FROM bp JOIN v a ON a.vec_id = i JOIN v b ON b.vec_id = j WHERE i <> j GROUP BY batch_id",
+    "infonce_pooled": f"WITH {V}, {BP}, x AS (SELECT batch_id, s / {T} AS z, a.label = b.label AS pos FROM bp JOIN v a ON a.vec_id = i JOIN v b ON b.vec_id = j WHERE i <> j AND (a.label = b.label OR batch_id % 2 = 0)) SELECT batch_id, round(CASE WHEN count(*) FILTER (NOT pos) > 0 THEN ln(sum(exp(z))) ELSE 0 END - avg(z) FILTER (pos), 5) AS loss FROM x GROUP BY batch_id HAVING count(*) FILTER (pos) > 0",
     "ntxent_loss": f"WITH {V}, {BP}, x AS (SELECT batch_id, i, s / {T} AS z, i = j AS diag FROM bp UNION ALL SELECT a.vec_id // {BATCH}, a.vec_id, list_dot_product(a.e, b.e) / {T}, false FROM v a JOIN v b ON a.vec_id // {BATCH} = b.vec_id // {BATCH} + 1) {NCE}",
     "ntxent_hard_weight": f"WITH {V}, {BP}, r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY s DESC, j) AS k FROM bp WHERE i <> j), t AS (SELECT *, exp(s / {T}) / sum(exp(s / {T})) OVER (PARTITION BY i) AS p FROM r WHERE k <= 10) SELECT batch_id, i, round(1 + 0.1 * sum(p), 6) AS factor FROM t GROUP BY ALL",
     "neg_mean_sim": f"WITH {V}, {BP} SELECT batch_id, round(-avg(s), 6) AS loss FROM bp GROUP BY 1",
-    "three_way_contrastive": f"WITH {V}, v3 AS (SELECT *, vec_id // 3 AS t, vec_id // 3 // {BATCH} AS batch_id FROM v), p AS (SELECT CASE WHEN a.modality = 'image' AND b.modality = 'text' THEN '12' WHEN a.modality = 'image' THEN '13' ELSE '23' END AS pair_key, a.batch_id, a.t AS i, list_dot_product(a.e, b.e) / {T} AS z, a.t = b.t AS diag FROM v3 a JOIN v3 b ON a.batch_id = b.batch_id WHERE (a.modality, b.modality) IN (('image', 'text'), ('image', 'audio'), ('text', 'audio'))), l AS (SELECT pair_key, batch_id, avg(l) AS loss FROM (SELECT pair_key, batch_id, i, ln(sum(exp(z))) - max(CASE WHEN diag THEN z END) AS l FROM p GROUP BY ALL) GROUP BY ALL) SELECT pair_key, round(avg(loss), 5) AS loss FROM l GROUP BY 1",
+    "three_way_contrastive": f"WITH {V}, v3 AS (SELECT *, vec_id // 3 AS t, vec_id // 3 // {BATCH} AS batch_id FROM v), p AS (SELECT CASE WHEN a.modality = 'image' AND b.modality = 'text' THEN '12' WHEN a.modality = 'image' THEN '13' ELSE '23' END AS pair_key, a.batch_id, a.t AS i, list_dot_product(a.e, b.e) / {T} AS z, a.t = b.t AS diag FROM v3 a JOIN v3 b ON a.batch_id = b.batch_id WHERE (a.modality, b.modality) IN (('image', 'text'), ('image', 'audio'), ('text', 'audio'))), l AS (SELECT pair_key, batch_id, avg(l) AS loss FROM (SELECT pair_key, batch_id, i, ln(sum(exp(z))) - max(CASE WHEN diag THEN z END) AS l FROM p GROUP BY ALL) GROUP BY ALL) SELECT batch_id, round(sum(loss) / 3, 5) AS loss FROM l GROUP BY 1",
     "alignment_loss": f"WITH {V}, {TRIPLE} SELECT round((avg(list_distance(image, text) ** 2 / 64) + avg(list_distance(image, audio) ** 2 / 64) + avg(list_distance(text, audio) ** 2 / 64)) / 3, 6) AS align FROM j",
     "center_stats": "SELECT ['image','text','audio'][vec_id % 3 + 1] AS modality, count(*) AS count, round(avg(n), 6) AS norm_mean, round(coalesce(stddev_samp(n), 0), 6) AS norm_std FROM (SELECT vec_id, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings) GROUP BY 1",
     "kmeans_step": f"WITH {BASE}, {STEP} SELECT center_id, round(count, 4) AS count, dim, round(x, 5) AS x FROM st",

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from molquarry.functions import scalar
+from molquarry.operators.skew import running_sum
 
 FALLBACK_TARGETS = ("labels", "label", "y")
 
@@ -62,6 +63,22 @@ def write_blocks(df: DataFrame, path: str, row_id: str, size: int = 100_000) ->
     in_blocks(df, row_id, size).repartition("block").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
+def merge_blocks(spark: SparkSession, blocks: str, path: str, row_id: str) -> tuple[DataFrame, int]:
+    """(the merged table, blocks left): blocks written in order of ``row_id`` to one table, then deleted."""
+    spark.read.parquet(blocks).drop("block").repartitionByRange(row_id).sortWithinPartitions(row_id).write.mode("overwrite").parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(blocks)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.delete(where, True)
+    return spark.read.parquet(path), int(fs.exists(where))
+
+
+def join_by_place(left: DataFrame, left_order: list[Column], right: DataFrame, right_order: list[Column]) -> DataFrame:
+    """Rows of two lists side by side by their place in each one's order; places only one list has are left out."""
+    a = running_sum(left, left_order, F.lit(1), "__place")
+    b = running_sum(right, right_order, F.lit(1), "__place")
+    return a.join(b, "__place").drop("__place")
+
+
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 

@@ -17,10 +17,9 @@ def checksum(df: DataFrame) -> str:
 
 
 def retained(meta: DataFrame, most: int) -> DataFrame:
-    """Adds ``keep``: whether a version is among the newest ``most``."""
-    from pyspark.sql import Window
-
-    return meta.withColumn("keep", F.row_number().over(Window.orderBy(F.desc("timestamp"), F.desc("id"))) <= most)
+    """Adds ``keep``: whether a version is among the newest ``most``, which are few and broadcast."""
+    newest = meta.orderBy(F.desc("timestamp"), F.desc("id")).limit(most).select("id", F.lit(True).alias("keep"))
+    return meta.join(F.broadcast(newest), "id", "left").withColumn("keep", F.coalesce("keep", F.lit(False)))
 
 
 class VersionStore:

@@ -6,15 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from molquarry.functions import vec
+from molquarry.operators.retrieval import array_sums
 from molquarry.session import materialise
 from molquarry.sources.versions import VersionStore
 
 
 def assign(vectors: DataFrame, centers: DataFrame) -> DataFrame:
     """(vec_id, center_id) by least squared L2 distance, ties to the smaller id; centers are few and broadcast."""
-    rows = centers.select("center_id", "center").orderBy("center_id").collect()
-    if len(rows) > 100_000:
+    if centers.count() > 100_000:
         raise ValueError("centers are too many for a k-means step; use retrieval.topk_centers")
+    rows = centers.select("center_id", "center").orderBy("center_id").collect()
     import numpy as np
     import pandas as pd
 
@@ -39,9 +40,9 @@ def kmeans_step(vectors: DataFrame, centers: DataFrame, decay: float = 0.99) ->
     by (center, dimension) before the shuffle, so a center that takes most samples is no hot task.
     """
     got = assign(vectors, centers)
-    dims = got.select("center_id", F.posexplode("e").alias("dim", "x")).groupBy("center_id", "dim").agg(F.avg("x").alias("m"), F.count(F.lit(1)).alias("n"))
-    means = dims.groupBy("center_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "m"))), lambda d: d["m"]).alias("mean"), F.max("n").alias("n"))
-    x = centers.join(F.broadcast(means), "center_id", "left")
+    sums = array_sums(got.withColumn("n", F.lit(1)), "center_id", "n")
+    means = sums.select("center_id", F.transform("e", lambda v: v / F.col("n")).alias("mean"), F.col("n").cast("long").alias("n"))
+    x = centers.join(means, "center_id", "left")
     alpha = F.lit(1.0) / (1 + F.col("count"))
     moved = F.when(F.col("count") > 0, F.zip_with("center", "mean", lambda c, m: c * (1 - alpha) + m * alpha)).otherwise(F.col("mean"))
     return x.select("center_id", F.coalesce(moved, "center").alias("center"), (F.col("count") * decay + F.coalesce("n", F.lit(0))).alias("count"))

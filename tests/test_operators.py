@@ -102,7 +102,7 @@ def test_hops_and_paths(spark):
     h = graph.hop_distances(a, e)
     d = {(r["i"], r["j"]): r["hops"] for r in h.collect()}
     assert d[0, 2] == 2 and d[1, 3] == 2 and d[0, 5] == 510 and d[7, 7] == 0 and d[5, 6] == 1
-    p = graph.path_edges(h, e).filter("i = 1 and j = 3").orderBy("step").collect()
+    p = graph.path_edges(a, e).filter("i = 1 and j = 3").orderBy("step").collect()
     assert len(p) == 2 and p[0]["b"] == 3 and p[1]["b"] == p[0]["a"]  # also by way of atom 0
     t = graph.angle_triples(e)
     assert t.count() == 4
@@ -127,3 +127,41 @@ def test_readers(spark, tmp_path):
         read_list(spark, "x.pkl")
     write_blocks(spark.range(25), str(tmp_path / "b"), "id", 10)
     assert spark.read.parquet(str(tmp_path / "b")).groupBy("block").count().count() == 3
+
+
+def test_long_paths_parts_and_null_keys(spark):
+    n = 45
+    e = spark.createDataFrame([("m", k, k, k + 1) for k in range(n - 1)] + [("m", 99, 100, 101), (None, 1, 0, 1), ("m", 98, 3, 777)], "mol_id string, edge_id int, a int, b int")
+    a = spark.createDataFrame([("m", k) for k in [*range(n), 100, 101]] + [("alone", 7), (None, 3), ("m", None)], "mol_id string, atom int")
+    d = {(r["mol_id"], r["i"], r["j"]): (r["hops"], r["via"]) for r in graph.hop_distances(a, e).collect()}
+    assert len(d) == 47 * 47 + 1 and d["alone", 7, 7] == (0, None)
+    assert d["m", 0, 44] == (44, 43) and d["m", 44, 0] == (44, 1) and d["m", 0, 100] == (510, None) and d["m", 101, 100] == (1, 101)
+    p = graph.path_edges(a, e).filter("i = 0 and j = 44").orderBy("step").collect()
+    assert [(r["a"], r["b"]) for r in p] == [(k, k + 1) for k in range(43, -1, -1)]
+    assert graph.hop_distances(a.limit(0), e).count() == 0
+
+
+def test_same_group_flag_of_ungrouped_ends(spark):
+    e = spark.createDataFrame([(1, 1, 1, 2), (1, 2, 2, 3), (1, 3, 3, 4)], "mol_id long, edge_id int, a int, b int")
+    a = spark.createDataFrame([(1, k) for k in range(1, 5)], "mol_id long, atom int")
+    m = spark.createDataFrame([(1, 2, 0, [1, 2])], "mol_id long, fg_id int, match_no int, atoms array<int>")
+    got = {r["edge_id"]: (r["score"], r["same"]) for r in graph.bond_group_scores(e, m, graph.dominant_groups(a, m, 4)).collect()}
+    assert got == {1: (3, 0), 2: (1, 1), 3: (0, 0)}
+
+
+def test_running_sum_and_ranks(spark):
+    import random
+
+    from molquarry.operators import metrics, skew
+
+    rng = random.Random(1)
+    rows = [(i, rng.choice([None, 1.0, 2.5, 2.5, 7.0]), rng.randrange(5)) for i in range(300)]
+    df = spark.createDataFrame(rows, "i long, x double, n long")
+    got = {r["i"]: r["before"] for r in skew.running_sum(df, [F.desc("n"), F.col("i")], F.col("n"), "before").collect()}
+    total = 0
+    for i, _, n in sorted(rows, key=lambda r: (-r[2], r[0])):
+        assert got[i] == total
+        total += n
+    xs = [r[1] for r in rows if r[1] is not None]
+    ranks = {r["i"]: r["r"] for r in metrics.average_ranks(df.filter("x is not null"), "x", "r").collect()}
+    assert all(ranks[i] == sum(y < x for y in xs) + (xs.count(x) + 1) / 2 for i, x, _ in rows if x is not None)
