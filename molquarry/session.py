@@ -108,7 +108,10 @@ def spread(df: DataFrame, per_core: int = 2) -> DataFrame:
     want = parallelism(spark) * per_core
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    splits = size // max(int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()), 1)
+    conf = spark._jsparkSession.sessionState().conf()
+    # the size at which scans cut files
+    cut = min(int(conf.filesMaxPartitionBytes()), max(int(conf.filesOpenCostInBytes()), (size + int(conf.filesOpenCostInBytes())) // parallelism(spark)))
+    splits = -(-size // max(cut, 1))
     return df if splits >= want else df.repartition(want)
 
 
