@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from molquarry.llm.messages import MOST_SAMPLE, Messages
-from molquarry.session import materialise, spread
+from molquarry.session import materialise, parallelism, spread
 
 #: Leading tokens that the tree branches on, and the share of equal tokens that joins a template.
 DEPTH = 2
@@ -32,7 +32,7 @@ MOST_BROADCAST = 200_000
 #: A text of up to this many sentences is short; a message stands in short texts, content mostly in others.
 SHORT = 4
 #: Different sentences of one leaf beyond which it is split by a MinHash of their tokens, as similar ones share it.
-LEAF_ROWS = 20_000
+LEAF_ROWS = 2_000
 
 WILD = "<*>"
 
@@ -302,7 +302,8 @@ class Residue:
         low = F.array_min(F.transform(F.split("sentence", "\t"), lambda t: F.xxhash64(t)))
         branch = F.when(F.col("size").isNotNull(), F.pmod(low, F.ceil(F.col("size") / F.lit(LEAF_ROWS)))).otherwise(F.lit(0)).cast("long")
         branched = rows.join(hot, "path", "left").withColumn("branch", branch).drop("size")
-        ordered = branched.repartition("path", "branch").sortWithinPartitions("path", "branch", "sentence")
+        # a fixed number of partitions, as few bytes of sentences are much work
+        ordered = branched.repartition(parallelism(branched.sparkSession) * 4, "path", "branch").sortWithinPartitions("path", "branch", "sentence")
         mined = materialise(ordered.mapInPandas(merge, "path string, template string, n long, short long"), "residue-mined")
         sample = mined.select("template", "n", "short").orderBy(F.xxhash64("template")).limit(MOST_SAMPLE).collect()
         model = self.docs.sparkSession.sparkContext.broadcast(fitted([tuple(r) for r in sample]))
