@@ -24,7 +24,7 @@ from molquarry.session import materialise, parallelism, spread
 
 WIDTH = 2048
 NEIGHBOURS = 10
-ORDERINGS = 8
+ORDERINGS = 10
 #: Rows of one window of neighbour descent.
 WINDOW_ROWS = 4_096
 ROUNDS = 3
@@ -33,7 +33,7 @@ LINK = 0.6
 #: Least similarity of a link that counts for modularity; unrelated fingerprints of this width stay below.
 WEAK = 0.3
 #: Rows on either side that are compared where they agree in the first two MinHash values.
-MATES = 48
+MATES = 96
 TYPICAL = 5
 
 
