@@ -191,7 +191,11 @@ class Clusters:
                         names, bits = part["node"].to_numpy(), Bits.from_bytes(list(part["vec"]))
                         near, sims = neighbour_descent(bits)
                         r, c = np.nonzero((near >= 0) & (sims >= WEAK))
+                        must = sims[r, c] >= link - 1e-6
+                        label = joined(len(part), r[must], near[r, c][must])
                         x, y, z = prefix_mates(bits, part["prefix"].to_numpy(), WEAK)
+                        apart = label[x] != label[y]  # mates that neighbours join already say nothing new
+                        x, y, z = x[apart], y[apart], z[apart]
                         a, b, w = np.concatenate([r, x]), np.concatenate([near[r, c], y]), np.concatenate([sims[r, c], z])
                         lo, hi = np.minimum(a, b), np.maximum(a, b)
                         _, once = np.unique(lo * len(part) + hi, return_index=True)
